@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding
+from . import decontamination, jaccard, mixing, sharding
 
 QUERIES = {
     "op1_hilbert_sharding": sharding.query,
     "op2_prefix_decontamination": decontamination.query,
     "op4_water_filling": mixing.query,
+    "op10_grouped_prefix_join": jaccard.query,
 }
 ORACLES = {
     "op2_prefix_decontamination": decontamination.ORACLE,
     "op4_water_filling": mixing.ORACLE,
+    "op10_grouped_prefix_join": jaccard.ORACLE,
 }
