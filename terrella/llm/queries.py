@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, mixing, sharding
+from . import decontamination, jaccard, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_hilbert_sharding": sharding.query,
     "op2_prefix_decontamination": decontamination.query,
     "op4_water_filling": mixing.query,
+    "op9_noisy_channel_toxicity": toxicity.query,
     "op10_grouped_prefix_join": jaccard.query,
 }
 ORACLES = {
