@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, mixing, sharding, toxicity
+from . import decontamination, jaccard, licenses, mixing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_sharding": sharding.query,
     "op2_prefix_decontamination": decontamination.query,
     "op4_water_filling": mixing.query,
+    "op5_license_signatures": licenses.query,
+    "op7_seekable_warc": warc.query,
     "op9_noisy_channel_toxicity": toxicity.query,
     "op10_grouped_prefix_join": jaccard.query,
 }
