@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, fresh, small, written
+from .common import fresh, small, written
 from .shingles import U64, ordered_sets, shingles, slices
 
 WIDTH = 5
@@ -141,8 +141,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     sets = written(rows.mapInArrow(_sets(width, percent, late, rank, False), shape), "sets")
 
     held = sets.where(F.col("n") > 0)
-    groups = held.groupBy("p").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-    posted = groups.select("p", "n", F.posexplode("prefix").alias("pos", "token"))
+    twins = held.groupBy(F.col("p").alias("tp")).agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("tp", "first")
+    groups = held.join(small(written(twins, "groups"), 96), F.col("p") == F.col("tp"), "left")
+    groups = groups.where(F.col("tp").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.digest").eqNullSafe(F.col("digest"))))
+    posted = groups.select("p", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     posted = posted.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("groups") > 1)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     heads = Window.partitionBy("token", "band").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -191,16 +193,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of class keys (a, b) whose sets link, as a written table; sets are made anew from one text of each class."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = written(members.join(wanted, "c").select("c", "m"), "wanted")
-    texts = rows.join(small(wanted.select("m").distinct(), 48), rows["doc_id"].eqNullSafe(F.col("m")), "left_semi").select("text")
+    """The pairs of class keys (a, b) whose sets link, as a written table.
+
+    Sets are made anew, from one text of each class that a pair names, and only travel to where their pair is compared:
+    the sets of a to their b. pairs should be a written table; it and the wanted ids are broadcast if counted small.
+    """
     none = np.empty(0, U64)
-    sets = texts.mapInArrow(_sets(width, percent, none, none, True), "c long, members binary")
-    sets = written(sets.join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("members").alias("members")), "members")
-    x = sets.select(F.col("c").alias("a"), F.col("members").alias("members_a"))
-    y = sets.select(F.col("c").alias("b"), F.col("members").alias("members_b"))
-    return written(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(percent), "a long, b long"), "links")
+
+    def sets(end: str) -> tuple[DataFrame, DataFrame]:
+        wanted = written(members.join(pairs.select(F.col(end).alias("c")).distinct(), "c").select("c", "m"), "wanted")
+        texts = rows.join(small(wanted.select("m").distinct(), 48), rows["doc_id"].eqNullSafe(F.col("m")), "left_semi").select("text")
+        return texts.mapInArrow(_sets(width, percent, none, none, True), "c long, members binary"), wanted
+
+    left, _ = sets("a")
+    right, wanted = sets("b")
+    left = left.join(small(pairs, 48), F.col("c") == F.col("a")).select("a", "b", F.col("members").alias("members_a"))
+    right = right.join(small(wanted.select(F.col("c").alias("w")), 48), F.col("c") == F.col("w"), "left_semi").select(F.col("c").alias("b"), F.col("members").alias("members_b"))
+    return written(left.join(right, "b").select("a", "b", "members_a", "members_b").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
