@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +20,7 @@ SAMPLE = 3_000
 FEATURES = 3_000
 PREFIXES = range(4, 9)
 #: Letters that a character may stand for. Fixed values.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c"}
 #: Log probability that a writer replaces, repeats or spaces a letter.
 REPLACED, REPEATED = math.log(0.2), math.log(0.3)
 N_CHARS = 28
@@ -28,11 +28,17 @@ _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
 
+#: Runs of more characters are keys or numbers, not disguised words.
+LONGEST = 32
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SYMBOL = r"[0-9@$!|+(€]"
-#: A letter beside a replacement inside a run, or a letter three times in a row.
-_ODD = re.compile(rf"(?:[a-z]|{_SYMBOL})*(?:[a-z]{_SYMBOL}+[a-z]|(?<![a-z0-9]){_SYMBOL}+[a-z]{{2}}|[a-z]{{2}}[0-9@$|+€]+|([a-z])\1\1)(?:[a-z]|{_SYMBOL})*")
+_SYMBOL = r"[0-9@$!|+(]"
 _SPACED = re.compile(rf"(?<![^\W_])(?:[a-z]|{_SYMBOL})(?:[ .\-_*]{{1,2}}(?:[a-z]|{_SYMBOL})(?![^\W_])){{3,}}")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+_LETTER, _REPLACES, _WORDLIKE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_REPLACES[list(map(ord, LEET))] = True
+_WORDLIKE[:] = _LETTER | _REPLACES
+_WORDLIKE[128:] = True
 
 
 def count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +98,50 @@ def decoded(token: str, lm: list[list[float]], spaces: bool = False) -> str:
     return max((s + lm[state][0], path) for state, (s, path) in best.items())[1]
 
 
-def restored(text: str, lm: list[list[float]]) -> list[str]:
+def odd_tokens(raw: bytes) -> tuple[list[str], bool]:
+    """Runs of letters and replacing symbols with both side by side, or a letter three times; and if letters stand alone.
+
+    Both are found by comparing whole arrays of bytes; only what is found is looked at one by one.
+    """
+    a = np.frombuffer(raw, np.uint8)
+    if len(a) < 3:
+        return [], False
+    letter, symbol, word = _LETTER[a], _REPLACES[a], _WORDLIKE[a]
+    beside = letter[:-1] & symbol[1:] | symbol[:-1] & letter[1:]
+    beside[:-1] |= letter[:-2] & (a[:-2] == a[1:-1]) & (a[1:-1] == a[2:])
+    out, done = [], 0
+    for at in np.flatnonzero(beside).tolist():
+        if at < done:
+            continue
+        start, done = at, at + 1
+        while start and (letter[start - 1] or symbol[start - 1]):
+            start -= 1
+        while done < len(a) and (letter[done] or symbol[done]):
+            done += 1
+        token = raw[start:done].decode().rstrip("!+(|")
+        if len(token) <= LONGEST and sum("a" <= c <= "z" for c in token) >= 2 and (any(c in LEET for c in token) or _TRIPLE.search(token)):
+            out.append(token)
+    alone = word.copy()
+    alone[1:] &= ~word[:-1]
+    alone[:-1] &= ~word[1:]
+    near = np.diff(np.flatnonzero(alone)) <= 3
+    return out, bool((near[2:] & near[1:-1] & near[:-2]).any()) if len(near) >= 3 else False
+
+
+def restored(low: str, lm: list[list[float]]) -> list[str]:
     """What a lower-cased text's odd tokens and spaced-out words may have meant."""
-    out = [decoded(m[0].rstrip("!+("), lm) for m in _ODD.finditer(text)] if _ODD.search(text) else []
-    for m in _SPACED.finditer(text):
-        joined = re.sub(r"[ .\-_*]", "", m[0])
-        out += [decoded(joined, lm), decoded(joined, lm, spaces=True)]
+    tokens, spaced = odd_tokens(low.encode())
+    out = [decoded(t, lm) for t in tokens]
+    if spaced:
+        for m in _SPACED.finditer(low):
+            joined = re.sub(r"[ .\-_*]", "", m[0])
+            out += [decoded(joined, lm), decoded(joined[1:], lm), decoded(joined, lm, spaces=True)]
     return out
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings (an inflected word shares its stem)."""
-    return [f"={word}", *(word[:n] for n in PREFIXES if n <= len(word))]
+def features(word: str) -> list[int]:
+    """A word and its beginnings (an inflected word shares its stem), as 32-bit checksums."""
+    return [zlib.crc32(f"={word}".encode()), *(zlib.crc32(word[:n].encode()) for n in PREFIXES if n <= len(word))]
 
 
 def word_set(text: str | None, lm: list[list[float]]) -> set[str]:
@@ -118,16 +156,16 @@ def word_set(text: str | None, lm: list[list[float]]) -> set[str]:
 class Model:
     lm: list[list[float]]
     bias: float = -math.inf
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
     def scorer(self) -> Callable[[str | None], float]:
-        memo: dict[str, tuple[str, ...]] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         weights, lm, bias = self.weights, self.lm, self.bias
 
         def score(text: str | None) -> float:
             if bias == -math.inf:
                 return 0.0
-            hit: set[str] = set()
+            hit: set[int] = set()
             for w in word_set(text, lm):
                 known = memo.get(w)
                 if known is None:
@@ -153,19 +191,21 @@ def fit(sample: pd.DataFrame, lm: list[list[float]], share: float) -> Model:
     if label.all():
         return Model(lm, 40.0)
     weight = np.where(label, share / label.sum(), (1 - share) / (~label).sum()) * len(label)
-    sets = [{f for w in word_set(t, lm) for f in features(w)} for t in sample["text"]]
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
-    for s, y in zip(sets, label.tolist(), strict=True):
-        (toxic if y else clean).update(s)
+    sets = [np.unique(np.fromiter({f for w in word_set(t, lm) for f in features(w)}, np.uint32)) for t in sample["text"]]
+    every = lambda own: np.unique(np.concatenate([np.empty(0, np.uint32), *(x for x, y in zip(sets, own, strict=True) if y)]), return_counts=True)
+    (found, a), (others, c) = every(label), every(~label)
+    enough = a >= max(3, math.ceil(0.01 * label.sum()))
+    found, a = found[enough], a[enough]
+    at = np.searchsorted(others, found)
+    at[at == len(others)] = 0
+    against = np.where(others[at] == found, c[at], 0) if len(others) else np.zeros(len(found))
     wt, wc = weight[label][0], weight[~label][0]
-    least = max(3, math.ceil(0.01 * label.sum()))
-    strong = [(a * wt / (a * wt + (clean[f] + 0.5) * wc), a, f) for f, a in toxic.items() if a >= least]
-    chosen = [f for p, a, f in sorted(strong, key=lambda x: (-x[0] * math.log(1 + x[1]), x[2])) if p >= 0.7][:FEATURES]
-    index = {f: i for i, f in enumerate(chosen)}
-    hits = [np.array([index[f] for f in s if f in index], np.int64) for s in sets]
+    precise = a * wt / (a * wt + (against + 0.5) * wc)
+    best = np.lexsort((found, -precise * np.log1p(a)))
+    chosen = np.sort(found[[i for i in best.tolist() if precise[i] >= 0.7][:FEATURES]])
+    hits = [np.flatnonzero(np.isin(chosen, s, assume_unique=True)) for s in sets]
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    col = np.concatenate(hits) if hits else np.empty(0, np.int64)
+    col = np.concatenate(hits)
     w, bias, total = np.zeros(len(chosen)), math.log(share / (1 - share)), weight.sum()
     y = label.astype(float)
     step_w, step_b = np.zeros(len(chosen)), 0.0
@@ -175,7 +215,7 @@ def fit(sample: pd.DataFrame, lm: list[list[float]], share: float) -> Model:
         step_w = 0.9 * step_w - 2.0 * (np.bincount(col, error[row], len(chosen)) / total + 1e-5 * w)
         step_b = 0.9 * step_b - 1.0 * error.sum() / total
         w, bias = w + step_w, bias + step_b
-    return Model(lm, float(bias), {f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4})
+    return Model(lm, float(bias), {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4})
 
 
 def bucket(doc_id: Column) -> Column:
