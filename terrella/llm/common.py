@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which else stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows prove it small, else as it is. df should be a written table."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

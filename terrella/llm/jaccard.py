@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small, written
+from .common import fresh, release, small, written
 from .shingles import U64, ordered_sets, shingles, slices
 
 WIDTH = 5
@@ -121,8 +121,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
        equal prefixes and sizes are one group, and only groups are posted.
     3. Stars: among the groups posted under a shingle in a band of like sizes, each meets the smallest; within a group
        each class meets the smallest. Pairs that pass the length and positional filters are verified exactly.
-    4. The rest: where a shingle, or a group, still holds several components, all their cross pairs that pass the filters
-       are expanded to members and verified, so that no link between components is missed. Pairs inside a component are
+    4. The rest: where a shingle, or a group, still holds several components, all their cross pairs are expanded to
+       members; those whose shared prefix shingles and remaining lengths allow a link are verified, so that no link between
+       components is missed. Pairs inside a component are
        never listed: a group of near copies costs a star, not its square.
     5. component_id is the smallest doc_id of the classes that links join.
 
@@ -151,11 +152,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     posted = posted.withColumn("band", band).withColumn("head", F.first(F.struct("p", "n", "pos")).over(heads))
     posted = written(posted.select("token", "p", "n", "pos", "head"), "postings")
 
+    def least_overlap(n_a, n_b):
+        return F.ceil((n_a + n_b) * percent / F.lit(100.0 + percent) - 1e-9)
+
     def fits(n_a, pos_a, n_b, pos_b):
         """Length filter, and what can still overlap from these positions on."""
-        least = F.ceil((n_a + n_b) * percent / F.lit(100.0 + percent) - 1e-9)
-        return (F.greatest(n_a, n_b) * percent <= F.least(n_a, n_b) * 100) & (F.least(n_a - pos_a, n_b - pos_b) >= least)
+        return (F.greatest(n_a, n_b) * percent <= F.least(n_a, n_b) * 100) & (F.least(n_a - pos_a, n_b - pos_b) >= least_overlap(n_a, n_b))
 
+    del groups
+    release(spark)
     members = written(held.groupBy("c").agg(F.first("n").cast("int").alias("n"), F.first("p").alias("p"), F.min("doc_id").alias("m")), "classes")
     lead = members.groupBy("p").agg(F.min("c").alias("lead"))
     col = F.col
@@ -164,6 +169,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     pairs = pairs.union(members.join(lead, "p").where("c <> lead").select(col("c").alias("a"), col("lead").alias("b")))
     first = _verified(rows, members, written(pairs.distinct(), "pairs"), width, percent)
     joined = components(first)
+    release(spark)
 
     now = members.join(joined, members["c"] == joined["node"], "left").select("c", "n", "p", F.coalesce("root", "c").alias("comp"))
     now = written(now, "joined")
@@ -181,8 +187,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     a = spread.select("token", "group", col("comp").alias("ca"), col("c").alias("a"), col("n").alias("n_a"), col("pos").alias("pos_a"))
     b = spread.select("token", "group", col("comp").alias("cb"), col("c").alias("b"), col("n").alias("n_b"), col("pos").alias("pos_b"))
     rest = across.join(a, ["token", "group", "ca"]).join(b, ["token", "group", "cb"])
-    rest = rest.where(fits(col("n_a"), col("pos_a"), col("n_b"), col("pos_b"))).select("a", "b").distinct()
-    second = _verified(rows, members, written(rest, "rest"), width, percent)
+    # With k shingles in both prefixes, what else two sets share lies behind the prefix of one of them.
+    rest = rest.groupBy("a", "b").agg(F.sum(F.when(col("group"), 1 << 40).otherwise(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    behind = F.ceil(F.greatest("n_a", "n_b") * percent / F.lit(100.0) - 1e-9) - 1
+    rest = rest.where((F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100) & (col("k") + behind >= least_overlap(col("n_a"), col("n_b")))).select("a", "b")
+    rest = written(rest, "rest")
+    del across, a, b, comps, x, y, mixed_keys, by_token, in_group, inside
+    release(spark)
+    second = _verified(rows, members, rest, width, percent)
     roots = components(first.union(second))
 
     rooted = members.join(roots, members["c"] == roots["node"], "left").select("c", "m", F.coalesce("root", "c").alias("root"))
