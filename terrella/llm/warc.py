@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import shared_path, small, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -141,7 +141,7 @@ def write_bundles(pages: DataFrame, root: str, page_id: str = "page_id", url: st
     groups = written(groups, "payloads")
     total = groups.agg(F.sum(F.col("size") + 600 * F.col("rows"))).first()[0] or 0
     shared = groups.where("rows > 1").select(F.col("sha").alias("_sha"), "last")
-    placed = slim.join(shared, F.col("sha") == F.col("_sha"), "left")
+    placed = slim.join(small(shared, 128), F.col("sha") == F.col("_sha"), "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     bundles = max(1, -(-int(total) // bundle_bytes), min(64, -(-int(total) // (1 << 20))))
     placed = placed.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "sha", refers.alias("refers_to"), F.pmod(F.xxhash64("page_id", "sha"), F.lit(bundles)).cast("int").alias("bundle"))
