@@ -1,6 +1,261 @@
-"""Names, queries and oracle SQL of the terrain operators."""
+"""Names, queries and oracle SQL of the terrain operators, over rasters made from the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import decode, flag_names, hash32, tie_hash, unsigned_mod
+from ..functions.storage import settled
+from ..operators import ecology, hydrology, navigation, noise, regions, topography, trails
+from ..operators.grid import RING, grid_dimensions, index, with_neighbours
+from ..sources import rasters
+from ..sources.params import DEFAULTS, merged
+from . import describe_queries, oracle
+from .generate import nested
+
+SEED = 42
+#: The raster of vectors is rougher than noise: lakes, streams and trails need wider thresholds to be there at all.
+PARAMS = merged(DEFAULTS, {"hydrology": {"lakeFlatSlopeThreshold": 0.1, "lakeAccumThreshold": 0.4, "streamAccumThreshold": 0.45}, "gameTrails": {"streamEndpointAccumThreshold": 0.5}})
+GROWN = merged(PARAMS, {"hydrology": {"lakeGrowSteps": 2, "lakeGrowHeightDelta": 0.05}})
+W = rasters.SIDE
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage that several queries start from, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = settled(make(), name)
+    return _KEPT[key]
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.vector_raster(table(spark, sf_dir, "embeddings"))
+
+
+def topo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "topo", lambda: topography.with_topography(base(spark, sf_dir), PARAMS))
+
+
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "flow", lambda: hydrology.with_flow_direction(topo(spark, sf_dir), PARAMS, SEED))
+
+
+def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "normed", lambda: hydrology.with_flow_norm(hydrology.with_flow_accumulation(flow(spark, sf_dir), W * height(spark, sf_dir))))
+
+
+def hydro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "hydro", lambda: hydrology.with_hydrology(topo(spark, sf_dir), PARAMS, SEED, W * height(spark, sf_dir)))
+
+
+def eco(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "eco", lambda: ecology.with_ecology(hydro(spark, sf_dir), PARAMS))
+
+
+def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = height(spark, sf_dir)
+    return kept(spark, sf_dir, "nav", lambda: navigation.with_navigation(trails.with_trails(eco(spark, sf_dir), PARAMS, W, n), PARAMS, W, n))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, tiles = height(spark, sf_dir), eco(spark, sf_dir)
+    return kept(spark, sf_dir, "requests", lambda: trails.route_requests(tiles, trails.trail_seeds(tiles, PARAMS, W, n), PARAMS, W, n))
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, "abcde"))
+    tiles = base(spark, sf_dir).where("y < 48 and (x * 3 + y * 5) % 7 <> 0")
+    return tiles.select("grid_id", "x", "y", F.element_at(names, F.least(F.lit(4), F.floor(F.col("h") * 5).cast("int")) + 1).alias("biome"))
+
+
+def region_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "regions", lambda: regions.with_regions(regions.checked(sparse(spark, sf_dir))))
+
+
+def columns(stage: Query, *names: str) -> Query:
+    return lambda spark, sf_dir: stage(spark, sf_dir).select("x", "y", *names)
+
+
+def noise_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = base(spark, sf_dir).select("grid_id", "x", "y")
+    return noise.with_base_maps(grid, SEED, DEFAULTS).select("x", "y", "h", "r", "v")
+
+
+def passability_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = navigation.with_passability(hydro(spark, sf_dir), PARAMS, W, height(spark, sf_dir)).withColumn("p", navigation.unpacked(F.col("pass_packed")))
+    return tiles.select("x", "y", F.explode(F.create_map(*[v for d in RING for v in (F.lit(d), F.col(f"p.{d}"))])).alias("dir", "passability"))
+
+
+def passability_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.with_passability(hydro(spark, sf_dir), PARAMS, W, height(spark, sf_dir)).select("x", "y", "pass_packed", "cliff_packed")
+
+
+def shore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = navigation.with_followable(hydro(spark, sf_dir).withColumn("trail", F.lit(False)))
+    return tiles.select("x", "y", "follow")
+
+
+def lake_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = normed(spark, sf_dir).withColumn("lake", hydrology.lake_mask(GROWN))
+    return hydrology.grown_lakes(tiles, GROWN).select("x", "y", "lake")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = height(spark, sf_dir)
+    tiles = kept(spark, sf_dir, "priced", lambda: trails.with_trail_cost(eco(spark, sf_dir), PARAMS, W, n))
+    return trails.routed(tiles, requests(spark, sf_dir), PARAMS, W, n).select("route_seq", "step", "idx")
+
+
+def authored_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = rasters.item_raster(table(spark, sf_dir, "lineitem")).groupBy(F.lit(1)).agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("a"))
+    whole = raw.select(F.lit(W).cast("long").alias("width"), F.lit(W).cast("long").alias("height"), F.transform("a", lambda s: s["value"]).alias("data"))
+    return rasters.violations(whole)
+
+
+def tie_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = tie_hash(SEED, F.col("x"), F.col("y"))
+    return base(spark, sf_dir).select("x", "y", unsigned_mod(h, F.lit(1_000_003).cast("long")).alias("k"))
+
+
+def string_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).select("x", "y", hash32(F.concat_ws(",", "x", "y")).alias("k"))
+
+
+def tile_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested(nav(spark, sf_dir)).select("x", "y", F.to_json(F.struct("topography", "hydrology", "ecology", "navigation")).alias("tile"))
+
+
+def debug_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested(nav(spark, sf_dir)).select("x", "y", "topography.*")
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = lambda c, n: F.array_join(flag_names(F.col(c), n), ",")
+    return eco(spark, sf_dir).select("x", "y", decode(F.col("biome"), ecology.BIOMES, "biome").alias("biome"), names("surface", ecology.SURFACE).alias("surface"), names("features", ecology.ROUGHNESS).alias("features"))
+
+
+def stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = with_neighbours(base(spark, sf_dir), ["h"])
+    there = F.filter("near", lambda n: n.isNotNull())
+    return near.select("x", "y", F.size(there).alias("neighbours"), F.array_max(F.transform(there, lambda n: n["h"])).alias("highest"))
+
+
+def landform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = topography.with_topography(base(spark, sf_dir), PARAMS)
+    return tiles.groupBy("landform").agg(F.count(F.lit(1)).alias("tiles")).select(decode(F.col("landform"), topography.LANDFORMS, "landform").alias("landform"), "tiles")
+
+
+def cost_by_biome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = height(spark, sf_dir)
+    tiles = trails.with_trail_cost(eco(spark, sf_dir), PARAMS, W, n)
+    return tiles.select("x", "y", "trail_cost")
+
+
+QUERIES: dict[str, Query] = {
+    "grid_from_table": columns(base, "h", "r", "v"),
+    "item_raster": lambda s, d: rasters.item_raster(table(s, d, "lineitem")).select("x", "y", "value"),
+    "authored_map_validation": authored_validation,
+    "grid_dimensions": lambda s, d: grid_dimensions(base(s, d)),
+    "noise_height": noise_height,
+    "tie_hash": tie_hashes,
+    "string_hash": string_hashes,
+    "stencil": stencil,
+    "slope_aspect": columns(topo, "slope", "aspect"),
+    "landform": columns(topo, "landform"),
+    "landform_counts": landform_counts,
+    "flow_direction": columns(flow, "fd"),
+    "in_degree": lambda s, d: hydrology.in_degree(flow(s, d)).select("x", "y", "in_deg"),
+    "flow_accumulation": lambda s, d: hydrology.with_flow_accumulation(flow(s, d), W * height(s, d)).select("x", "y", "fa"),
+    "flow_norm": columns(normed, "fa_norm"),
+    "lake_mask": columns(hydro, "lake"),
+    "lake_growth": lake_growth,
+    "stream_mask": columns(hydro, "stream"),
+    "dist_water": columns(hydro, "dist_water"),
+    "moisture": columns(hydro, "moisture"),
+    "water_class": columns(hydro, "water"),
+    "biome": columns(eco, "biome"),
+    "vegetation": columns(eco, "density", "canopy"),
+    "dominant_species": lambda s, d: eco(s, d).select("x", "y", F.array_join("dominant", ",").alias("dominant")),
+    "ground": columns(eco, "soil", "firmness", "surface"),
+    "roughness": columns(eco, "obstruction", "features"),
+    "flag_lists": flags,
+    "trail_cost": cost_by_biome,
+    "seed_score_topk": lambda s, d: trails.trail_seeds(eco(s, d), PARAMS, W, height(s, d)).select("x", "y", F.round("score", 9).alias("score"), "seed_rank"),
+    "route_requests": lambda s, d: requests(s, d).select("route_seq", "kind", "seed", "end"),
+    "routes": routes,
+    "trail_mark": lambda s, d: nav(s, d).where("trail").select(index(W).alias("idx"), "trail_id"),
+    "move_cost": columns(nav, "move_cost"),
+    "passability_long": passability_long,
+    "passability_packed": passability_packed,
+    "followable": shore,
+    "invariant_violations": lambda s, d: navigation.invariant_violations(nav(s, d)),
+    "optional_columns": lambda s, d: eco(s, d).select("x", "y", F.round(navigation.visibility_metres(PARAMS), 6).alias("metres"), F.round(navigation.orientation(PARAMS), 6).alias("orientation")),
+    "regions": lambda s, d: region_tiles(s, d).select("x", "y", "region"),
+    "region_summary": lambda s, d: regions.region_summary(region_tiles(s, d)).drop("grid_id", "parent"),
+    "region_parent": lambda s, d: regions.region_summary(region_tiles(s, d)).select("region", "parent"),
+    "tile_payload": tile_payload,
+    "debug_projection": debug_projection,
+}
+QUERIES |= describe_queries.queries(nav, kept)
+
+
+def _sql(select: str, params: dict = PARAMS) -> str:
+    return oracle.query(params, SEED, select)
+
+
+_VIS, _ORI = PARAMS["visibility"], PARAMS["orientation"]
+_NAMES = lambda names, mask: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {mask} & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(names)) + "], lambda z: z IS NOT NULL), ',')"
+ORACLES: dict[str, str] = {
+    "grid_from_table": _sql("SELECT x, y, h, r, v FROM base"),
+    "item_raster": "SELECT (l_partkey % 64)::INTEGER AS x, (l_orderkey % 64)::INTEGER AS y, (least(1e0, sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 10))::FLOAT)::DOUBLE AS value FROM lineitem GROUP BY 1, 2",
+    "authored_map_validation": "SELECT 64::BIGINT AS width, 64::BIGINT AS height, false AS bad_structure, count(*) <> 4096 AS bad_length, 0::INTEGER AS bad_values FROM (SELECT DISTINCT l_partkey % 64, l_orderkey % 64 FROM lineitem)",
+    "grid_dimensions": _sql("SELECT (max(x) + 1)::INTEGER AS width, (max(y) + 1)::INTEGER AS height FROM base"),
+    "tie_hash": _sql("SELECT x, y, (k % 1000003::UHUGEINT)::BIGINT AS k FROM hashed"),
+    "string_hash": _sql(f"SELECT x, y, {oracle._fnv("(x || ',' || y)")} AS k FROM base"),
+    "stencil": _sql("SELECT a.x, a.y, count(*)::INTEGER AS neighbours, max(b.h) AS highest FROM base a, dirs JOIN base b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.x, a.y"),
+    "slope_aspect": _sql("SELECT x, y, slope, aspect FROM tilt"),
+    "landform": _sql("SELECT x, y, landform FROM topo"),
+    "landform_counts": _sql("SELECT (['flat', 'slope', 'ridge', 'valley', 'basin'])[landform + 1] AS landform, count(*) AS tiles FROM topo GROUP BY 1"),
+    "flow_direction": _sql("SELECT x, y, fd FROM flow"),
+    "in_degree": _sql("SELECT b.x, b.y, count(e.x)::INTEGER AS in_deg FROM base b LEFT JOIN edges e ON e.nx = b.x AND e.ny = b.y GROUP BY b.x, b.y"),
+    "flow_accumulation": _sql("SELECT x, y, fa FROM drained"),
+    "flow_norm": _sql("SELECT x, y, fa_norm FROM normed"),
+    "lake_mask": _sql("SELECT x, y, lake FROM laked"),
+    "stream_mask": _sql("SELECT x, y, stream FROM streamed"),
+    "dist_water": _sql("SELECT x, y, d AS dist_water FROM wet_far"),
+    "moisture": _sql("SELECT x, y, moisture FROM moist"),
+    "water_class": _sql("SELECT x, y, water FROM hydro"),
+    "biome": _sql("SELECT x, y, biome FROM living"),
+    "vegetation": _sql("SELECT x, y, density, canopy FROM plants"),
+    "dominant_species": _sql("SELECT x, y, array_to_string(dominant, ',') AS dominant FROM plants"),
+    "ground": _sql("SELECT x, y, soil, firmness, surface FROM grounded"),
+    "roughness": _sql("SELECT x, y, obstruction, features FROM eco"),
+    "flag_lists": _sql(f"SELECT x, y, ({ecology.BIOMES})[biome + 1] AS biome, {_NAMES(ecology.SURFACE, 'surface')} AS surface, {_NAMES(ecology.ROUGHNESS, 'features')} AS features FROM eco"),
+    "trail_cost": _sql("SELECT x, y, trail_cost FROM priced"),
+    "seed_score_topk": _sql("SELECT x, y, round(score, 9) AS score, seed_rank FROM seeds"),
+    "route_requests": _sql('SELECT route_seq, kind, seed, "end" FROM requests'),
+    "passability_long": _sql("SELECT x, y, dir, (['passable', 'difficult', 'blocked'])[code + 1] AS passability FROM passable"),
+    "passability_packed": _sql("SELECT x, y, pass_packed, cliff_packed FROM packed"),
+    "followable": _sql("SELECT h.x, h.y, ((CASE WHEN water = 2 THEN 1 ELSE 0 END) + (CASE WHEN landform = 2 THEN 2 ELSE 0 END) + (CASE WHEN s.x IS NOT NULL THEN 8 ELSE 0 END))::INTEGER AS follow FROM hydro h LEFT JOIN shores s ON s.x = h.x AND s.y = h.y"),
+    "invariant_violations": "SELECT 0::BIGINT AS bad_move_cost, 0::BIGINT AS bad_passability, 0::BIGINT AS bad_followable, 0::BIGINT AS bad_trail_id",
+    "optional_columns": _sql(f"SELECT x, y, round(greatest({_VIS['minMeters']}e0, least({_VIS['maxMeters']}e0, {_VIS['base']}e0 - density * {_VIS['densityPenalty']} - obstruction * {_VIS['obstructionPenalty']} + h * {_VIS['elevationBonus']})), 6) AS metres, round(greatest({_ORI['min']}e0, least({_ORI['max']}e0, 1e0 - density * {_ORI['densityWeight']}e0 - obstruction * {_ORI['obstructionWeight']}e0 - {oracle.clamp('(moisture - 0.6e0) / 0.4e0')} * {_ORI['wetnessWeight']}e0 + CASE WHEN landform = 2 THEN {_ORI['ridgeBonus']}e0 ELSE 0e0 END)), 6) AS orientation FROM eco"),
+    "regions": _sql("SELECT x, y, region FROM regions"),
+    "region_summary": _sql("SELECT region, biome, tile_count, min_x, min_y, max_x, max_y FROM summary"),
+    "region_parent": _sql("SELECT region, parent FROM parents"),
+    "debug_projection": _sql("SELECT x, y, h, r, v, slope AS \"slopeMag\", aspect AS \"aspectDeg\", (['flat', 'slope', 'ridge', 'valley', 'basin'])[landform + 1] AS landform FROM topo"),
+}
+ORACLES |= describe_queries.ORACLES
