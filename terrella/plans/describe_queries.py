@@ -1,3 +1,76 @@
+"""Queries about descriptions: neighbour signals, hash picks, movement arcs, and the texts themselves."""
+
 from __future__ import annotations
-def queries(nav, kept): return {}
-ORACLES = {}
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import phrases
+from ..functions.columns import hash32, pick
+from ..operators import describe, ecology
+from ..operators.grid import RING
+from . import oracle
+from .generate import nested
+
+_GRAVE = ["windthrow", "boulder", "fallen_log", "root_tangle"]  # those of the roughness flags, gravest first
+_KEY = F.concat_ws(",", "x", "y")
+
+
+def neighbor_signals(tiles: DataFrame) -> DataFrame:
+    """Per tile and direction the neighbour's biome and step in height; beyond the edge the tile itself."""
+    flat = describe.signals(nested(tiles))
+    whole = flat.join(describe.neighbour_signals(flat), ["grid_id", "x", "y"], "left")
+    each = whole.select("x", "y", "biome", "elevation", "near", F.explode(F.array(*map(F.lit, RING))).alias("dir"))
+    other = F.try_element_at("near", F.col("dir"))
+    return each.select("x", "y", "dir", F.coalesce(other["biome"], "biome").alias("biome"), (F.coalesce(other["elevation"], "elevation") - F.col("elevation")).alias("elev_delta"))
+
+
+def obstacle_pick(tiles: DataFrame) -> DataFrame:
+    """The obstacle that a tile's description names: three, two and one lots for the three gravest."""
+    bit = {n: 1 << ecology.ROUGHNESS.index(n) for n in _GRAVE}
+    there = F.filter(F.array(*[F.when(F.col("features").bitwiseAND(F.lit(bit[n])) != 0, F.lit(n)) for n in _GRAVE]), lambda n: n.isNotNull())
+    pool = F.flatten(F.transform(F.slice(there, 1, 3), lambda n, i: F.array_repeat(n, F.lit(3) - i)))
+    key = hash32(F.concat(_KEY, F.lit(":obstacle:key")))
+    tiles = tiles.withColumn("_pool", pool)
+    at = F.pmod(key, F.greatest(F.size("_pool"), F.lit(1))).cast("int")
+    return tiles.select("x", "y", F.get("_pool", at).alias("obstacle"))
+
+
+def phrase_pick(tiles: DataFrame) -> DataFrame:
+    out = F.lit(None).cast("string")
+    for code, name in enumerate(ecology.BIOMES):
+        out = F.when(F.col("biome") == code, pick(phrases.BIOME[name], F.concat(_KEY, F.lit(f":biome:{name}")))).otherwise(out)
+    return tiles.select("x", "y", out.alias("phrase"))
+
+
+def movement_runs(tiles: DataFrame) -> DataFrame:
+    """How many arcs of open and of closed directions a tile has around it."""
+    code = lambda i: F.call_function("shiftright", F.col("pass_packed"), F.lit(2 * (i % 8))).bitwiseAND(F.lit(3)) == 0
+    starts = sum((F.when(code(i) & ~code(i + 7), 1).otherwise(0) for i in range(8)), F.lit(0))
+    exits = sum((F.when(code(i), 1).otherwise(0) for i in range(8)), F.lit(0))
+    arcs = lambda full: F.when(exits == full, 1).otherwise(starts)
+    return tiles.select("x", "y", exits.alias("exits"), F.when(exits == 0, 0).otherwise(arcs(8)).alias("passages"), F.when(exits == 8, 0).otherwise(arcs(0)).alias("blockages"))
+
+
+def described(tiles: DataFrame) -> DataFrame:
+    return describe.describe(nested(tiles)).select("x", "y", "description", "debug")
+
+
+def queries(nav: Callable, kept: Callable) -> dict[str, Callable]:
+    of = lambda f: lambda spark, sf_dir: f(nav(spark, sf_dir))
+    return {"neighbor_signals": of(neighbor_signals), "obstacle_pick": of(obstacle_pick), "phrase_pick": of(phrase_pick), "movement_runs": of(movement_runs), "described_tiles": of(described)}
+
+
+def oracles(sql: Callable[[str], str]) -> dict[str, str]:
+    grave = "list_filter([" + ", ".join(f"CASE WHEN features & {1 << ecology.ROUGHNESS.index(n)} <> 0 THEN '{n}' END" for n in _GRAVE) + "], lambda z: z IS NOT NULL)"
+    lots = "list_filter([g[1], g[1], g[1], g[2], g[2], g[3]], lambda z: z IS NOT NULL)"
+    hashed = oracle._fnv("(x || ',' || y || ':obstacle:key')")
+    pools = " ".join(f"WHEN {code} THEN {oracle.pick(phrases.BIOME[name], f"(x || ',' || y || ':biome:{name}')")}" for code, name in enumerate(ecology.BIOMES))
+    return {
+        "neighbor_signals": sql(f"SELECT a.x, a.y, dir, ({ecology.BIOMES})[coalesce(b.biome, a.biome) + 1] AS biome, coalesce(b.h, a.h) - a.h AS elev_delta FROM eco a CROSS JOIN ring LEFT JOIN eco b ON b.x = a.x + dx AND b.y = a.y + dy"),
+        "obstacle_pick": sql(f"SELECT x, y, CASE WHEN len(l) > 0 THEN l[({hashed} % greatest(len(l), 1))::INTEGER + 1] END AS obstacle FROM (SELECT x, y, {lots} AS l FROM (SELECT x, y, {grave} AS g FROM eco))"),
+        "phrase_pick": sql(f"SELECT x, y, CASE biome {pools} END AS phrase FROM eco"),
+        "movement_runs": sql("SELECT x, y, exits::INTEGER AS exits, (CASE WHEN exits = 8 THEN 1 ELSE starts END)::INTEGER AS passages, (CASE WHEN exits = 0 THEN 1 ELSE starts END)::INTEGER AS blockages FROM (SELECT x, y, count(*) FILTER (code = 0) AS exits, count(*) FILTER (code = 0 AND prev <> 0) AS starts FROM (SELECT p.*, q.code AS prev FROM passable p JOIN passable q ON q.x = p.x AND q.y = p.y AND q.i = (p.i + 7) % 8) GROUP BY x, y)"),
+    }

@@ -258,4 +258,4 @@ ORACLES: dict[str, str] = {
     "region_parent": _sql("SELECT region, parent FROM parents"),
     "debug_projection": _sql("SELECT x, y, h, r, v, slope AS \"slopeMag\", aspect AS \"aspectDeg\", (['flat', 'slope', 'ridge', 'valley', 'basin'])[landform + 1] AS landform FROM topo"),
 }
-ORACLES |= describe_queries.ORACLES
+ORACLES |= describe_queries.oracles(_sql)
