@@ -20,6 +20,8 @@ PERCENT = 80
 CHUNK, LEAST = 2_000_000, 3
 #: So many of the most frequent shingles come last in the global order; the order never changes the result.
 LATE = 200_000
+#: Hash buckets whose counts bound an overlap.
+BUCKETS = 512
 
 
 def _encoded(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -47,8 +49,8 @@ def _frequent(width: int) -> Callable:
     return kernel
 
 
-def _sets(width: int, percent: int, late: np.ndarray, rank: np.ndarray, whole: bool) -> Callable:
-    """whole: give the sets themselves, sorted; else their sizes and keys and the prefixes."""
+def _sets(width: int, percent: int, late: np.ndarray, rank: np.ndarray, whole: bool, sketch: bool = False) -> Callable:
+    """whole: give the sets themselves, sorted (or their counts by bucket); else their sizes and keys and the prefixes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,6 +61,10 @@ def _sets(width: int, percent: int, late: np.ndarray, rank: np.ndarray, whole: b
                 part = [h[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 in_order = [np.sort(x) for x in part]
                 key = [int.from_bytes(hashlib.sha1(x.tobytes()).digest()[:8], "little", signed=True) for x in in_order]
+                if sketch:
+                    counts = [np.minimum(np.bincount((x >> U64(55)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() + len(x).to_bytes(8, "little") for x in in_order]
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(counts, pa.binary())], ["c", "members"])
+                    continue
                 if whole:
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([x.tobytes() for x in in_order], pa.binary())], ["c", "members"])
                     continue
@@ -84,6 +90,23 @@ def _verify(percent: int) -> Callable:
     return kernel
 
 
+def _bounded(percent: int) -> Callable:
+    """A count of 255 stands for any larger one, so where both have it the bound takes the whole sets instead."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(p[:BUCKETS], np.uint8), np.frombuffer(q[:BUCKETS], np.uint8)
+                n = [int.from_bytes(s[BUCKETS:], "little") for s in (p, q)]
+                least = np.minimum(x, y)
+                most = min(n) if least.max() == 255 else int(least.sum(dtype=np.int64))
+                keep.append(100 * most >= percent * (sum(n) - most))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return kernel
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of edges (a, b), by alternating large and small stars.
 
@@ -120,9 +143,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
        order; two sets that link share one of them). Equal sets are one class, linked without a comparison; rows with
        equal prefixes and sizes are one group, and only groups are posted.
     3. Stars: among the groups posted under a shingle in a band of like sizes, each meets the smallest; within a group
-       each class meets the smallest. Pairs that pass the length and positional filters are verified exactly.
+       each class meets the smallest. Pairs that pass the length and positional filters, and the bound of step 4, are
+       verified exactly.
     4. The rest: where a shingle, or a group, still holds several components, all their cross pairs are expanded to
-       members; those whose shared prefix shingles and remaining lengths allow a link are verified, so that no link between
+       members; those whose lengths and positions of a shared shingle allow a link, and then the counts of their shingles
+       by 512 hash buckets (the sum of the smaller counts bounds the overlap), are verified, so that no link between
        components is missed. Pairs inside a component are
        never listed: a group of near copies costs a star, not its square.
     5. component_id is the smallest doc_id of the classes that links join.
@@ -167,7 +192,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     stars = posted.where((col("p") != col("head.p")) & fits(col("n"), col("pos"), col("head.n"), col("head.pos"))).select(col("p").alias("pa"), col("head.p").alias("pb")).distinct()
     pairs = stars.join(lead.select(col("p").alias("pa"), col("lead").alias("a")), "pa").join(lead.select(col("p").alias("pb"), col("lead").alias("b")), "pb").select("a", "b")
     pairs = pairs.union(members.join(lead, "p").where("c <> lead").select(col("c").alias("a"), col("lead").alias("b")))
-    first = _verified(rows, members, written(pairs.distinct(), "pairs"), width, percent)
+    first = _verified(rows, members, _possible(rows, members, written(pairs.distinct(), "pairs"), width, percent), width, percent)
     joined = components(first)
     release(spark)
 
@@ -179,21 +204,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     spread = in_group.unionByName(by_token)
     mixed_keys = spread.groupBy("token", "group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "group")
     spread = written(spread.join(mixed_keys, ["token", "group"]), "spread")
-    comps = spread.groupBy("token", "group", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x = comps.select("token", "group", col("comp").alias("ca"), col("lo").alias("lo_a"), col("hi").alias("hi_a"))
-    y = comps.select("token", "group", col("comp").alias("cb"), col("lo").alias("lo_b"), col("hi").alias("hi_b"))
-    near = (col("ca") < col("cb")) & (col("lo_a") * percent <= col("hi_b") * 100) & (col("lo_b") * percent <= col("hi_a") * 100)
-    across = x.join(y, ["token", "group"]).where(near).select("token", "group", "ca", "cb")
-    a = spread.select("token", "group", col("comp").alias("ca"), col("c").alias("a"), col("n").alias("n_a"), col("pos").alias("pos_a"))
-    b = spread.select("token", "group", col("comp").alias("cb"), col("c").alias("b"), col("n").alias("n_b"), col("pos").alias("pos_b"))
-    rest = across.join(a, ["token", "group", "ca"]).join(b, ["token", "group", "cb"])
-    # With k shingles in both prefixes, what else two sets share lies behind the prefix of one of them.
-    rest = rest.groupBy("a", "b").agg(F.sum(F.when(col("group"), 1 << 40).otherwise(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    behind = F.ceil(F.greatest("n_a", "n_b") * percent / F.lit(100.0) - 1e-9) - 1
-    rest = rest.where((F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100) & (col("k") + behind >= least_overlap(col("n_a"), col("n_b")))).select("a", "b")
+    comps = spread.groupBy("token", "group", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first"))
+    x = comps.select("token", "group", *[col(k).alias(f"{k}_a") for k in ("comp", "lo", "hi", "first")])
+    y = comps.select("token", "group", *[col(k).alias(f"{k}_b") for k in ("comp", "lo", "hi", "first")])
+    may = lambda u, v: col(f"first_{u}") * (100 + percent) <= col(f"hi_{u}") * 100 - col(f"lo_{v}") * percent
+    across = x.join(y, ["token", "group"]).where((col("comp_a") < col("comp_b")) & may("a", "b") & may("b", "a"))
+    across = across.select("token", "group", "comp_a", "comp_b")
+    a = spread.select("token", "group", col("comp").alias("comp_a"), col("c").alias("a"), col("n").alias("n_a"), col("pos").alias("pos_a"))
+    b = spread.select("token", "group", col("comp").alias("comp_b"), col("c").alias("b"), col("n").alias("n_b"), col("pos").alias("pos_b"))
+    rest = across.join(a, ["token", "group", "comp_a"]).join(b, ["token", "group", "comp_b"])
+    rest = rest.where(fits(col("n_a"), col("pos_a"), col("n_b"), col("pos_b"))).select("a", "b").distinct()
     rest = written(rest, "rest")
     del across, a, b, comps, x, y, mixed_keys, by_token, in_group, inside
     release(spark)
+    rest = _possible(rows, members, rest, width, percent)
     second = _verified(rows, members, rest, width, percent)
     roots = components(first.union(second))
 
@@ -204,6 +228,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return out.select("doc_id", "digest", "n", "c", F.when(col("n") == 0, col("doc_id")).otherwise(col("component_id")).alias("component_id"))
 
 
+def _texts(rows: DataFrame, members: DataFrame, pairs: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """One text of each class at an end of the pairs, and (c, m) of those classes."""
+    wanted = written(members.join(pairs.select(F.col(end).alias("c")).distinct(), "c").select("c", "m"), "wanted")
+    return rows.join(small(wanted.select("m").distinct(), 48), rows["doc_id"].eqNullSafe(F.col("m")), "left_semi").select("text"), wanted
+
+
+def _possible(rows: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose overlap, bounded by bucket counts of 512 bytes a class, may still be a link; a written table."""
+    none = np.empty(0, U64)
+
+    def side(end: str) -> DataFrame:
+        texts, wanted = _texts(rows, members, pairs, end)
+        sketches = texts.mapInArrow(_sets(width, percent, none, none, True, sketch=True), "c long, members binary")
+        own = small(wanted.select(F.col("c").alias("w")), 48)
+        return sketches.join(own, F.col("c") == F.col("w"), "left_semi").select(F.col("c").alias(end), F.col("members").alias(f"members_{end}"))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "members_a", "members_b")
+    return written(joined.mapInArrow(_bounded(percent), "a long, b long").distinct(), "possible")
+
+
 def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of class keys (a, b) whose sets link, as a written table.
 
@@ -211,14 +255,9 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, width: int,
     the sets of a to their b. pairs should be a written table; it and the wanted ids are broadcast if counted small.
     """
     none = np.empty(0, U64)
-
-    def sets(end: str) -> tuple[DataFrame, DataFrame]:
-        wanted = written(members.join(pairs.select(F.col(end).alias("c")).distinct(), "c").select("c", "m"), "wanted")
-        texts = rows.join(small(wanted.select("m").distinct(), 48), rows["doc_id"].eqNullSafe(F.col("m")), "left_semi").select("text")
-        return texts.mapInArrow(_sets(width, percent, none, none, True), "c long, members binary"), wanted
-
-    left, _ = sets("a")
-    right, wanted = sets("b")
+    left, _ = _texts(rows, members, pairs, "a")
+    right, wanted = _texts(rows, members, pairs, "b")
+    left, right = (t.mapInArrow(_sets(width, percent, none, none, True), "c long, members binary") for t in (left, right))
     left = left.join(small(pairs, 48), F.col("c") == F.col("a")).select("a", "b", F.col("members").alias("members_a"))
     right = right.join(small(wanted.select(F.col("c").alias("w")), 48), F.col("c") == F.col("w"), "left_semi").select(F.col("c").alias("b"), F.col("members").alias("members_b"))
     return written(left.join(right, "b").select("a", "b", "members_a", "members_b").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
