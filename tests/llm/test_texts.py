@@ -1,0 +1,224 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrella.llm import decontamination, jaccard, licenses, secrets, toxicity
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def vocabulary(seed, n=400):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n)], r
+
+
+def frame(spark, rows, kinds="doc_id long, text string"):
+    return spark.createDataFrame(rows, kinds)
+
+
+@pytest.fixture(scope="module")
+def contaminated(spark):
+    words, r = vocabulary(1)
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(1, say(20)), (2, say(40)), (3, say(13)), (4, "one two three"), (5, ""), (6, None), (None, say(15)), (10, say(7)), (1, say(14))]
+    texts = [say(30) for _ in range(20)] + [None, "", "...", "Été " * 3, "one two", "One, TWO; three!", "one two three one two three"]
+    for i, t in items:
+        if t:
+            texts += [f"{say(9)} {t} {say(5)}", t.upper(), f"{say(3)} {' '.join(t.split()[2:])} {say(4)}", t + " " + t]
+    texts += [texts[21 + 8]] * 2 + [f"{say(15_000)} {items[1][1]} {say(15_000)}"]
+    docs = [(i, t, "x", 1.0) for i, t in enumerate(texts)] + [(0, texts[30], "y", 2.0), (None, texts[31], "y", 2.0), (3, texts[3], "x", 1.0)]
+    return frame(spark, docs, "doc_id long, text string, w string, n double"), frame(spark, items, "item_id long, text string"), docs, items
+
+
+def brute_hits(text, items):
+    split = lambda t: WORD.findall((t or "").translate(LOWER))
+    own, hit, found = split(text), set(), set()
+    for i, t in items:
+        w = split(t)
+        if i is None or not w:
+            continue
+        n = min(13, len(w))
+        for s in range(len(w) - n + 1):
+            for p in range(len(own) - n + 1):
+                if own[p] == w[s] and own[p : p + n] == w[s : s + n]:
+                    hit.update(range(p, p + n))
+                    found.add(str(i))
+    return len(own), len(hit), sorted(found)
+
+
+def test_contamination_like_brute_force(contaminated):
+    docs, bench, rows, items = contaminated
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontamination.hits(docs, bench).collect()), key=repr)
+    want = sorted(((i is None, i or 0, *brute_hits(t, items)) for i, t, _, _ in rows), key=repr)
+    assert got == want
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    clean = [t for _, t, _, _ in rows if not ((h := brute_hits(t, items))[1] > 0 and 20 * h[1] >= h[0])]
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for t in clean)
+
+
+def test_contamination_of_nothing(contaminated):
+    docs, bench, rows, _ = contaminated
+    assert decontamination.hits(docs.where("false"), bench).collect() == []
+    assert all(r.n_hit == 0 for r in decontamination.hits(docs, bench.where("false")).collect())
+
+
+def shingle_set(text):
+    w = [x for x in (text or "").translate(LOWER).encode().split()]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    words, r = vocabulary(2)
+    base = [r.choice(words) for _ in range(120)]
+    texts = []
+    for k in range(60):  # near copies of one text, from close to far
+        t = list(base)
+        for _ in range(k % 9):
+            t[r.randrange(120)] = r.choice(words)
+        texts.append(" ".join(t))
+    for _ in range(25):
+        t = [r.choice(words) for _ in range(60)]
+        texts += [" ".join(t), " ".join(t[: r.randrange(45, 60)]), " ".join(base[:50] + t)]
+    texts += [texts[0]] * 30 + [texts[0].upper(), None, "", " \n", "a b", "A  b", "a b c d e", "a b c d", "Éa b c d e", "éa b c d e", "w " * 50_000, "z " * 9]
+    rows = [(1000 - i, t, "c") for i, t in enumerate(texts)] + [(None, texts[1], "c"), (None, "a b", "d"), (999, texts[1], "c"), (17, "q r s t u v", "c")]
+    return frame(spark, rows, "doc_id long, text string, c string"), rows
+
+
+def brute_groups(rows):
+    sets = [shingle_set(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    ids = {}
+    for i, (doc, _, _) in enumerate(rows):
+        if doc is not None:
+            ids[find(i)] = min(doc, ids.get(find(i), doc))
+    return [(doc, len(sets[i]), ids.get(find(i))) for i, (doc, _, _) in enumerate(rows)], len({find(i) for i in range(len(rows))})
+
+
+@pytest.mark.parametrize("late", [0, 200_000])
+def test_links_like_brute_force(copies, late, monkeypatch):
+    docs, rows = copies
+    monkeypatch.setattr(jaccard, "LATE", late)
+    got = [(r.doc_id, r.n, r.component_id) for r in jaccard.classes(docs).collect()]
+    assert sorted(got, key=repr) == sorted(brute_groups(rows)[0], key=repr)
+
+
+def test_one_of_each_group_stays(copies):
+    docs, rows = copies
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns and kept.count() == brute_groups(rows)[1]
+    assert jaccard.deduplicated(docs.where("false")).collect() == []
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(15)]
+    low = {v: v for e in edges for v in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {x.node: x.root for x in jaccard.components(frame(spark, edges, "a long, b long")).collect()}
+    assert {v: got.get(v, v) for v in low} == low
+
+
+def test_license_places_and_labels(spark):
+    rows = [(1, "MIT-License, then the mit\nlicense", "x"), (2, "Licensed under the Apache License, Version 2.0.", "x"), (3, None, "x"), (4, "smit license mit licenses", "x"), (5, "GNU General Public License version 3; SPDX-License-Identifier: BSD-3-Clause", "x"), (5, "", "x"), (6, "word " * 40_000 + "MIT License", "x")]
+    got = sorted(licenses.scan_licenses(frame(spark, rows, "doc_id long, text string, labels string")).collect(), key=lambda r: (r.doc_id, r.n_words))
+    want = [(1, 6, 2, 0, 4, "mit", "mit"), (2, 8, 1, 3, 3, "apache", "apache"), (3, 0, 0, None, None, "", ""), (4, 4, 0, None, None, "", ""), (5, 0, 0, None, None, "", ""), (5, 12, 1, 1, 1, "gpl", "bsd,gpl"), (6, 40_002, 1, 40_000, 40_000, "mit", "mit")]
+    assert [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r._labels) for r in got] == want
+    assert all(0 <= r.score <= 1 for r in got) and len(licenses.rules()) > 200
+
+
+def test_license_suppression_keeps_what_no_better_rule_contains():
+    text = "spdx-license-identifier: mit and the mit license, version 2.0 of the apache license " * 3
+    found = licenses.detections(text)
+    for s, e, rule in found:
+        better = [f for f in found if f[0] <= s and e <= f[1] and f != (s, e, rule) and f[2].priority < rule.priority]
+        assert not better
+    assert {r.label for _, _, r in found} >= {"mit", "apache"}
+
+
+def test_secrets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'x token = "{key}" y', "src/a.py"), (2, "an averagewordwithoutdigits here", "s"), (3, None, None), (4, "", "s"), (5, f"commit {key}", "docs/x.md"), (6, f"a\tä secret:{key};b", "s"), (1, f'x token = "{key}" y', "src/a.py"), (7, "w " * 30_000 + f"api_key = {key}", "s")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = sorted(secrets.scan_secrets(docs).collect(), key=lambda r: (r.doc_id, r.start))
+    texts = {i: t for i, t, _ in rows}
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in got)
+    yes = [r.doc_id for r in got if r.is_secret]
+    assert yes == [1, 1, 6, 7] and {r.doc_id for r in got} >= {1, 5, 6, 7}
+    assert secrets.scan_secrets(docs.where("false")).collect() == []
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(docs.withColumn("score", F.lit(1)), keep=("doc_id", "score"))
+
+
+def test_secret_forest_on_findings_it_has_not_seen(spark):
+    forest = secrets.train(spark)
+    fresh = spark.createDataFrame(secrets.labelled_findings(400, seed=99))
+    of = secrets.features(*[F.col(c) for c in ("value", "before", "after", "path")])
+    scored = fresh.select("label", *[of[f].alias(f) for f in secrets.FEATURES]).withColumn("s", F.expr(forest))
+    right = scored.select(F.avg(((F.col("s") >= 0.5).cast("int") == F.col("label")).cast("int"))).first()[0]
+    assert right >= 0.9
+
+
+def test_deobfuscation():
+    words = "the idiot is worthless and stupid as a clown or a loser with trash in there other common words still"
+    import numpy as np
+    import pyarrow as pa
+
+    batch = next(toxicity.count_characters(iter([pa.RecordBatch.from_pydict({"t": [words] * 50})])))
+    table = np.ones((28, 28))
+    for p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        table[p // 28, p % 28] += n
+    lm = np.log(table / table.sum(1, keepdims=True)).tolist()
+    for seen, meant in (("an 1d10t!", "idiot"), ("w0rthl3ss", "worthless"), ("stuuupid", "stupid"), ("c l 0 w n", "clown"), ("tr@sh", "trash")):
+        assert meant in toxicity.restored(seen, lm), seen
+    assert toxicity.restored("plain words, nothing odd.", lm) == [] and toxicity.restored("", lm) == []
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    words, r = vocabulary(4, 150)
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = [r.choice(words) for _ in range(40)]
+        if toxic:
+            text[r.randrange(40)] = r.choice(["scumbag", "idiotic", "scumb4g", "moronic"])
+        docs.append((i, " ".join(text), 1))
+        labels.append((i, int(toxic)))
+    docs += [(1000, None, 1), (1001, "", 1), (None, "scumbag", 1), (1002, "w " * 60_000 + "idiotic", 1)]
+    return frame(spark, docs, "doc_id long, text string, score int"), frame(spark, labels + [(None, 1), (5, None)], "doc_id long, toxic int"), dict(labels)
+
+
+def test_toxicity_of_held_out_rows(judged):
+    docs, labels, truth = judged
+    model = toxicity.train(docs, labels)
+    scored = docs.select("doc_id", toxicity.score_column(model, F.col("text")).alias("s"), (toxicity.bucket(F.col("doc_id")) == 2).alias("held")).collect()
+    assert len(scored) == docs.count() and all(0 <= r.s <= 1 for r in scored)
+    held = [r for r in scored if r.held and r.doc_id in truth]
+    assert len(held) > 50 and sum((r.s >= 0.3) == bool(truth[r.doc_id]) for r in held) >= 0.95 * len(held)
+    kept = toxicity.clean(docs, labels)
+    assert kept.columns == docs.columns and {1000, 1001} <= {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_toxicity_without_labels(judged):
+    docs, labels, _ = judged
+    model = toxicity.train(docs, labels.where("false"))
+    assert {r[0] for r in docs.select(toxicity.score_column(model, F.col("text"))).collect()} == {0.0}
+    assert toxicity.clean(docs.where("false"), labels).collect() == []
