@@ -15,7 +15,9 @@ from . import oracle
 from .generate import nested
 
 _GRAVE = ["windthrow", "boulder", "fallen_log", "root_tangle"]  # those of the roughness flags, gravest first
-_KEY = F.concat_ws(",", "x", "y")
+def _key():
+    return F.concat_ws(",", "x", "y")
+
 
 
 def neighbor_signals(tiles: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def obstacle_pick(tiles: DataFrame) -> DataFrame:
     bit = {n: 1 << ecology.ROUGHNESS.index(n) for n in _GRAVE}
     there = F.filter(F.array(*[F.when(F.col("features").bitwiseAND(F.lit(bit[n])) != 0, F.lit(n)) for n in _GRAVE]), lambda n: n.isNotNull())
     pool = F.flatten(F.transform(F.slice(there, 1, 3), lambda n, i: F.array_repeat(n, F.lit(3) - i)))
-    key = hash32(F.concat(_KEY, F.lit(":obstacle:key")))
+    key = hash32(F.concat(_key(), F.lit(":obstacle:key")))
     tiles = tiles.withColumn("_pool", pool)
     at = F.pmod(key, F.greatest(F.size("_pool"), F.lit(1))).cast("int")
     return tiles.select("x", "y", F.get("_pool", at).alias("obstacle"))
@@ -41,7 +43,7 @@ def obstacle_pick(tiles: DataFrame) -> DataFrame:
 def phrase_pick(tiles: DataFrame) -> DataFrame:
     out = F.lit(None).cast("string")
     for code, name in enumerate(ecology.BIOMES):
-        out = F.when(F.col("biome") == code, pick(phrases.BIOME[name], F.concat(_KEY, F.lit(f":biome:{name}")))).otherwise(out)
+        out = F.when(F.col("biome") == code, pick(phrases.BIOME[name], F.concat(_key(), F.lit(f":biome:{name}")))).otherwise(out)
     return tiles.select("x", "y", out.alias("phrase"))
 
 
