@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.columns import f32_of
-from ..functions.rng import MIX_1, MIX_2, X_MIX, Y_MIX
+from ..functions.rng import MIX_1, MIX_2, X_MIX, Y_MIX, permutation
+from ..operators.noise import SETTINGS
 
 
 def num(v: float) -> str:
@@ -75,6 +76,10 @@ def steps(p: dict, seed: int) -> dict[str, str]:
         "drained": "SELECT x, y, count(*)::BIGINT AS fa FROM walk GROUP BY x, y",
         "normed": f"SELECT flow.*, fa, {f32('CASE WHEN lo = hi THEN 0e0 ELSE (ln(fa::DOUBLE) - ln(lo::DOUBLE)) / (ln(hi::DOUBLE) - ln(lo::DOUBLE)) END')} AS fa_norm FROM flow JOIN drained USING (x, y), (SELECT min(fa) AS lo, max(fa) AS hi FROM drained)",
         "laked": f"SELECT *, landform = 4 AND slope < {near32(hy['lakeFlatSlopeThreshold'])} AND fa_norm >= {near32(hy['lakeAccumThreshold'])} AS lake FROM normed",
+        "lakes": "SELECT x, y, h FROM laked WHERE lake",
+        "shared": "SELECT x, y, x AS rx, y AS ry FROM lakes UNION SELECT s.x, s.y, l.x, l.y FROM shared s, dirs JOIN lakes l ON l.x = s.rx + dx AND l.y = s.ry + dy",
+        "lows": "SELECT label, x, y, min(h) OVER (PARTITION BY label) AS ref FROM lakes JOIN (SELECT x, y, min(ry * 64 + rx) AS label FROM shared GROUP BY x, y) USING (x, y)",
+        "spread": f"SELECT label, x, y, ref, 0 AS n FROM lows UNION SELECT label, t.x, t.y, ref, n + 1 FROM spread s JOIN dirs ON d % 2 = 0 AND n < {int(hy['lakeGrowSteps'])} JOIN laked t ON t.x = s.x + dx AND t.y = s.y + dy WHERE NOT t.lake AND t.slope <= {near32(hy['lakeFlatSlopeThreshold'])} AND t.h <= ref + {near32(hy['lakeGrowHeightDelta'])}",
         "streamed": f"SELECT *, NOT lake AND fa_norm >= {near32(hy['streamAccumThreshold'])} AND slope >= {near32(hy['streamMinSlopeThreshold'])} AS stream FROM laked",
         "wet_far": cap_distance("lake OR stream", "streamed", hy["waterProxMaxDist"]),
         "moist": "SELECT s.*, d AS dist_water, "
@@ -121,6 +126,35 @@ def steps(p: dict, seed: int) -> dict[str, str]:
     }
 
 
+RECURSIVE = ("walk", "reach", "shared", "spread")
+
+
+def noise(p: dict, seed: int) -> str:
+    """Gradient noise of all three maps over the vector raster's tiles, a step for each octave."""
+    at = lambda i: f"p[({i})::INTEGER + 1]"
+    dot = lambda h, dx, dy: f"([1e0, -1e0, 1e0, -1e0, 1e0, -1e0, 0e0, 0e0])[({h} & 7) + 1] * ({dx}) + ([1e0, 1e0, -1e0, -1e0, 0e0, 0e0, 1e0, -1e0])[({h} & 7) + 1] * ({dy})"
+    blend = lambda a, b, t: f"(({a}) + {t} * (({b}) - ({a})))"
+    fade = lambda t: f"({t} * {t} * {t} * ({t} * ({t} * 6e0 - 15e0) + 10e0))"
+    parts, maps = [f"base AS MATERIALIZED ({steps(p, seed)['base']})"], []
+    for name, key in SETTINGS.items():
+        own = p[key]
+        total, weight, frequency, amplitude = "0e0", 0.0, float(own["baseFrequency"]), 1.0
+        for k in range(own["octaves"]):
+            place = f"SELECT x, y, p, floor(x * {num(frequency)}) AS cx, floor(y * {num(frequency)}) AS cy, x * {num(frequency)} AS px, y * {num(frequency)} AS py FROM base, (SELECT {list(permutation(seed, name, k))} AS p)"
+            cell = f"SELECT x, y, p, px - cx AS xf, py - cy AS yf, {at('cx::INTEGER & 255')} AS a, {at('(cx::INTEGER & 255) + 1')} AS b, cy::INTEGER & 255 AS yi FROM ({place})"
+            corner = f"SELECT x, y, xf, yf, {fade('xf')} AS u, {fade('yf')} AS v, {at('a + yi')} AS aa, {at('a + yi + 1')} AS ab, {at('b + yi')} AS ba, {at('b + yi + 1')} AS bb FROM ({cell})"
+            value = blend(blend(dot("aa", "xf", "yf"), dot("ba", "xf - 1", "yf"), "u"), blend(dot("ab", "xf", "yf - 1"), dot("bb", "xf - 1", "yf - 1"), "u"), "v")
+            parts.append(f"{name}{k} AS (SELECT x, y, greatest(-1e0, least(1e0, {value} / {num(2**0.5)})) AS n FROM ({corner}))")
+            total = f"({total} + {name}{k}.n * {num(amplitude)})"
+            weight += amplitude
+            frequency *= own["lacunarity"]
+            amplitude *= own["persistence"]
+        first, *rest = [f"{name}{k}" for k in range(own["octaves"])]
+        joins = "".join(f" JOIN {r} ON {r}.x = {first}.x AND {r}.y = {first}.y" for r in rest)
+        maps.append(f"(SELECT {first}.x, {first}.y, {f32(clamp(f'({total} / {num(weight)} + 1) / 2'))} AS {name} FROM {first}{joins})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT x, y, h, r, v FROM {maps[0]} JOIN {maps[1]} USING (x, y) JOIN {maps[2]} USING (x, y)"
+
+
 def query(p: dict, seed: int, select: str) -> str:
     """select, with the steps that it needs, however far down."""
     import re
@@ -136,4 +170,4 @@ def query(p: dict, seed: int, select: str) -> str:
 
     need(select)
     kept = [(n, s) for n, s in every.items() if n in wanted]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'reach') else 'MATERIALIZED '}({s})" for n, s in kept) + f"\n{select}"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({s})" for n, s in kept) + f"\n{select}"

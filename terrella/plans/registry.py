@@ -235,6 +235,8 @@ ORACLES: dict[str, str] = {
     "flow_accumulation": _sql("SELECT x, y, fa FROM drained"),
     "flow_norm": _sql("SELECT x, y, fa_norm FROM normed"),
     "lake_mask": _sql("SELECT x, y, lake FROM laked"),
+    "noise_height": oracle.noise(DEFAULTS, SEED),
+    "lake_growth": _sql("SELECT l.x, l.y, lake OR s.x IS NOT NULL AS lake FROM laked l LEFT JOIN (SELECT DISTINCT x, y FROM spread) s ON s.x = l.x AND s.y = l.y", GROWN),
     "stream_mask": _sql("SELECT x, y, stream FROM streamed"),
     "dist_water": _sql("SELECT x, y, d AS dist_water FROM wet_far"),
     "moisture": _sql("SELECT x, y, moisture FROM moist"),
