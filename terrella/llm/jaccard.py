@@ -22,6 +22,8 @@ CHUNK, LEAST = 2_000_000, 3
 LATE = 200_000
 #: Hash buckets whose counts bound an overlap.
 BUCKETS = 512
+#: Rounds in which classes of different components under a shingle meet one of them, picked by hash.
+TURNS = 2
 
 
 def _encoded(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -145,6 +147,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     3. Stars: among the groups posted under a shingle in a band of like sizes, each meets the smallest; within a group
        each class meets the smallest. Pairs that pass the length and positional filters, and the bound of step 4, are
        verified exactly.
+       Twice more, classes whose shingle holds several components meet one of them that a hash picks, so that a group of
+       near copies whose smallest member lies far out still joins into few components.
     4. The rest: where a shingle, or a group, still holds several components, all their cross pairs are expanded to
        members; those whose lengths and positions of a shared shingle allow a link, and then the counts of their shingles
        by 512 hash buckets (the sum of the smaller counts bounds the overlap), are verified, so that no link between
@@ -193,17 +197,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     pairs = stars.join(lead.select(col("p").alias("pa"), col("lead").alias("a")), "pa").join(lead.select(col("p").alias("pb"), col("lead").alias("b")), "pb").select("a", "b")
     pairs = pairs.union(members.join(lead, "p").where("c <> lead").select(col("c").alias("a"), col("lead").alias("b")))
     first = _verified(rows, members, _possible(rows, members, written(pairs.distinct(), "pairs"), width, percent), width, percent)
-    joined = components(first)
-    release(spark)
 
-    now = members.join(joined, members["c"] == joined["node"], "left").select("c", "n", "p", F.coalesce("root", "c").alias("comp"))
-    now = written(now, "joined")
-    inside = now.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p")
-    in_group = now.join(inside, "p").select(col("p").alias("token"), "c", "n", "comp", F.lit(0).alias("pos"), F.lit(True).alias("group"))
-    by_token = posted.select("token", "p", "pos").join(now, "p").select("token", "c", "n", "comp", "pos", F.lit(False).alias("group"))
-    spread = in_group.unionByName(by_token)
-    mixed_keys = spread.groupBy("token", "group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "group")
-    spread = written(spread.join(mixed_keys, ["token", "group"]), "spread")
+    def spread_now(links: DataFrame) -> DataFrame:
+        """Rows (token, group, c, n, comp, pos) of the shingles, and groups, that hold several components under the links."""
+        roots = components(links)
+        now = members.join(roots, members["c"] == roots["node"], "left").select("c", "n", "p", F.coalesce("root", "c").alias("comp"))
+        now = written(now, "joined")
+        inside = now.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p")
+        in_group = now.join(inside, "p").select(col("p").alias("token"), "c", "n", "comp", F.lit(0).alias("pos"), F.lit(True).alias("group"))
+        by_token = posted.select("token", "p", "pos").join(now, "p").select("token", "c", "n", "comp", "pos", F.lit(False).alias("group"))
+        every = in_group.unionByName(by_token)
+        several = every.groupBy("token", "group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "group")
+        return written(every.join(several, ["token", "group"]), "spread")
+
+    for turn in range(TURNS):
+        spread = spread_now(first)
+        release(spark)
+        by_chance = Window.partitionBy("token", "group", band).orderBy(F.xxhash64("c", F.lit(turn)), "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = spread.withColumn("head", F.first(F.struct("c", "n", "pos", "comp")).over(by_chance)).where(col("comp") != col("head.comp"))
+        met = met.where(fits(col("n"), col("pos"), col("head.n"), col("head.pos"))).select(col("c").alias("a"), col("head.c").alias("b")).distinct()
+        found = _verified(rows, members, _possible(rows, members, written(met, "met"), width, percent), width, percent)
+        first = written(first.union(found), "links")
+    spread = spread_now(first)
+    release(spark)
     comps = spread.groupBy("token", "group", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first"))
     x = comps.select("token", "group", *[col(k).alias(f"{k}_a") for k in ("comp", "lo", "hi", "first")])
     y = comps.select("token", "group", *[col(k).alias(f"{k}_b") for k in ("comp", "lo", "hi", "first")])
@@ -215,7 +231,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     rest = across.join(a, ["token", "group", "comp_a"]).join(b, ["token", "group", "comp_b"])
     rest = rest.where(fits(col("n_a"), col("pos_a"), col("n_b"), col("pos_b"))).select("a", "b").distinct()
     rest = written(rest, "rest")
-    del across, a, b, comps, x, y, mixed_keys, by_token, in_group, inside
+    del across, a, b, comps, x, y
     release(spark)
     rest = _possible(rows, members, rest, width, percent)
     second = _verified(rows, members, rest, width, percent)
