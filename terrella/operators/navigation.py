@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp01, f32, flag_names, lerp
-from .grid import DIR8, RING, non_playable, with_neighbours
+from .grid import DIR8, RING, with_neighbours
 
 #: Names by code and by bit. Fixed values.
 PASSABILITY = ["passable", "difficult", "blocked"]
