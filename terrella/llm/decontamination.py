@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, small, words, written
+from .common import fresh, small, words, written
 
 WINDOW = 13
 SHINGLE = 5
