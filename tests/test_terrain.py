@@ -315,3 +315,28 @@ def test_stream_of_tiles(spark, generated, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(spark.table("blocked").collect()) == sorted(blocked_directions(nested(generated)).collect())
+
+
+def test_region_queries_hold_the_whole_raster(spark):
+    from terrella.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    biome = {(r.y, r.x): r.biome for r in registry.classed(spark, sf).collect()}
+    near = lambda y, x: [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    of, members = {}, []
+    for first in sorted(biome):
+        if first not in of:
+            of[first], todo = len(members), [first]
+            for t in todo:
+                for o in near(*t):
+                    if o not in of and biome.get(o) == biome[first]:
+                        of[o] = len(members)
+                        todo.append(o)
+            members.append(todo)
+    around = [{of.get(o) for t in m for o in near(*t)} - {k} for k, m in enumerate(members)]
+    box = lambda m: (min(x for _, x in m), min(y for y, _ in m), max(x for _, x in m), max(y for y, _ in m))
+    assert len(biome) == 64 * registry.table(spark, sf, "embeddings").count()
+    assert {(r.y, r.x): r.region for r in registry.QUERIES["regions"](spark, sf).collect()} == of
+    assert sorted(map(tuple, registry.QUERIES["region_summary"](spark, sf).collect())) == [(k, biome[m[0]], len(m), *box(m)) for k, m in enumerate(members)]
+    parents = {k: min(a) if len(a) == 1 and None not in a else None for k, a in enumerate(around)}
+    assert {r.region: r.parent for r in registry.QUERIES["region_parent"](spark, sf).collect()} == parents
