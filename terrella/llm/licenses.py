@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh
 
-#: label, SPDX identifier, how the name is written (a pattern over lower-cased text), keyword that every rule of it needs,
-#: versions. Fixed values.
+#: label, SPDX identifier, how the name is written (a pattern over lower-cased text), keywords of which every name holds one,
+#: versions. In patterns a blank stands for any run of white space or hyphens; in keywords such runs are one hyphen. Fixed values.
 FAMILIES = (
     ("mit", "mit", r"(?:mit|expat)", "mit", ""), ("mit-0", "mit-0", r"mit no attribution", "attribution", ""),
     ("apache", "apache", r"apache(?: software)?", "apache", "1.0 1.1 2.0"), ("gpl", "gpl", r"gnu (?:general public|gpl)", "gnu", "1.0 2.0 3.0"),
@@ -27,6 +27,8 @@ FAMILIES = (
     ("edl", "edl", r"eclipse distribution", "eclipse", "1.0"), ("cddl", "cddl", r"common development and distribution", "distribution", "1.0 1.1"),
     ("cpl", "cpl", r"common public", "common", "1.0"), ("cc0", "cc0", r"(?:cc0|creative commons zero)", "cc0", "1.0"),
     ("cc-by", "cc-by", r"creative commons attribution", "creative", "1.0 2.0 2.5 3.0 4.0"), ("cc-by-sa", "cc-by-sa", r"creative commons attribution[- ]share ?alike", "creative", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-sa", "cc-by-nc-sa", r"creative commons attribution[- ]non ?commercial[- ]share ?alike", "creative", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nc-nd", "cc-by-nc-nd", r"creative commons attribution[- ]non ?commercial[- ]no ?deriv\w*", "creative", "1.0 2.0 2.5 3.0 4.0"),
     ("cc-by-nc", "cc-by-nc", r"creative commons attribution[- ]non ?commercial", "creative", "1.0 2.0 2.5 3.0 4.0"), ("cc-by-nd", "cc-by-nd", r"creative commons attribution[- ]no ?deriv\w*", "creative", "1.0 2.0 2.5 3.0 4.0"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense", ""), ("wtfpl", "wtfpl", r"do what the f\w+ you want to public", "public", "2.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", "zlib", ""), ("libpng", "libpng", r"libpng", "libpng", "2.0"),
@@ -51,23 +53,26 @@ FAMILIES = (
     ("mulanpsl", "mulanpsl", r"mulan (?:permissive software|psl)", "mulan", "1.0 2.0"), ("blueoak", "blueoak", r"blue oak model", "oak", "1.0.0"),
     ("hippocratic", "hippocratic", r"hippocratic", "hippocratic", "2.1"), ("llama", "llama", r"llama (?:2|3|community)", "llama", ""),
 )
-#: Grant texts that name no license. Label, keyword, pattern. Fixed values.
+#: Grant texts that name no license. Label, keywords, pattern. Fixed values.
 GRANTS = (
-    ("mit", "hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "purpose with or without fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification"),
-    ("bsd", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors"),
-    ("zlib", "express or implied", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("gpl", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
-    ("proprietary", "rights reserved", r"all rights reserved"),
+    ("mit", "hereby-granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "purpose-with-or-without-fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
+    ("bsd", "redistribution-and-use", r"redistribution and use in source and binary forms,? with or without modification"),
+    ("bsd", "neither-the-name", r"neither the name of [\s\S]{1,80}? nor the names of its contributors"),
+    ("zlib", "express-or-implied", r"this software is provided 'as-is', without any express or implied warranty"),
+    ("unlicense", "public-domain", r"free and unencumbered software released into the public domain"),
+    ("public-domain", "public-domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("gpl", "free-software-foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
+    ("proprietary", "rights-reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|unauthorized copying of this file)"),
 )
+#: Identifiers that are common words: with a number they name a license only as written there.
+WORDS = {"apache", "artistic", "elastic", "hippocratic", "php"}
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _IN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = re.compile(WORD)
+_GAPS = re.compile(r"[\s-]+")
 _BASE = tuple((label, re.compile(rf"(?<!{_IN_WORD}){_GAP.join(p)}(?!{_IN_WORD})")) for label, p in BASE)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,59 +80,79 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    #: Each match holds one of them, with runs of white space and hyphens as one hyphen.
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     #: Lower goes first; the earlier rule wins between equals.
     priority: int
     confidence: float
 
 
+def _loose(pattern: str) -> str:
+    """pattern, where each blank takes any run of white space or hyphens."""
+    return re.sub(r"(?:\[- \]| )(\?)?", lambda m: r"[\s-]*" if m[1] else r"[\s-]+", pattern)
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """Some five hundred ordered signatures: tags and addresses, then grants with and without a version, then mentions."""
+    """Some six hundred ordered signatures: tags and addresses, then grants with and without a version, then mentions."""
     out = []
-    add = lambda label, key, pattern, priority, sure: out.append(Rule(label, key, re.compile(pattern), priority, sure))
-    for label, key, pattern in GRANTS:
-        add(label, key, pattern, 2, 0.9)
-    for label, spdx, name, key, versions in FAMILIES:
-        part = re.escape(spdx)
+    add = lambda label, keys, pattern, priority, sure: out.append(Rule(label, tuple(keys.split()), re.compile(_loose(pattern)), priority, sure))
+    for label, keys, pattern in GRANTS:
+        add(label, keys, pattern, 2, 0.9)
+    for label, spdx, name, keys, versions in FAMILIES:
+        # An identifier that goes on to be another one's (cc-by, cc-by-nc) is not this one.
+        more = "|".join(f[1][len(spdx) + 1 :].replace("-", " ") for f in FAMILIES if f[1].startswith(f"{spdx}-"))
+        more = rf"(?!{'-' if more.isdigit() else ' '}(?:{more})\b)" if more else ""
+        part, short = re.escape(spdx) + more, spdx.replace("-", " ") + more
+        either, any_key = f"(?:{name}|{short})", f"{keys} {spdx}"
         add(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?{part}(?:-[\w.]+)*\b", 0, 1.0)
         add(label, "licenses/", rf"(?:opensource\.org|spdx\.org|gnu\.org|apache\.org|choosealicense\.com|creativecommons\.org)/licenses/{part}\b[\w.\-/]*", 0, 0.95)
         license_ = rf"{name}(?: public)?(?: license)?"
         for v in versions.split():
             number = re.escape(v.removesuffix(".0"))
-            add(label, key, rf"\b{license_},? (?:\(?version|v\.?|ver\.?)? ?{number}(?:\.0)?\b", 1, 0.95)
-            add(f"{label}-{v}", spdx, rf"\b{part}[- ]v?{re.escape(v)}\b", 3, 0.8)
-        add(label, key, rf"\b(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{name}\b(?: license)?", 1, 0.9)
-        add(label, key, rf"\b{name} licen[cs]e\b", 4, 0.7)
-        add(label, "license:", rf"\blicense: ?['\"]?{part}\b", 2, 0.85)
+            add(label, keys, rf"\b{license_},? (?:\(?version|v\.?|ver\.?)? ?{number}(?:\.0)?\b", 1, 0.95)
+            if spdx in WORDS:
+                add(f"{label}-{v}", spdx, rf"\b{short} v?{re.escape(v)}\b", 3, 0.8)
+            elif v.endswith("clause"):
+                add(f"{label}-{v}", spdx, rf"\b{short} {v.replace('-', ' ')}\b", 3, 0.8)
+            else:
+                add(f"{label}-{v}", spdx, rf"\b{short},? ?(?:version|ver\.?|v\.?)? ?{number}{r'(?:\.0)?' if v.endswith('.0') else ''}(?!\w|\.\d)", 3, 0.8)
+        add(label, any_key, rf"\b(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{either}(?: ?v?\d+(?:\.\d+)*)?\b(?: license)?", 1, 0.9)
+        add(label, any_key, rf"\b{either}(?: ?v?\d+(?:\.\d+)*)? licen[cs]e\b", 4, 0.7)
+        add(label, "license:", rf"\blicense: ?['\"]?{short}(?: ?v?\d+(?:\.\d+)*)?\b", 2, 0.85)
+        if spdx.startswith("cc-by"):
+            add(label, spdx, rf"\b{part if spdx == 'cc-by' else short}\b", 4, 0.7)
     return tuple(out)
 
 
 @cache
-def _prefilter() -> tuple[ahocorasick.Automaton, tuple[Rule, ...]]:
+def _prefilter() -> ahocorasick.Automaton:
     by_key: dict[str, list[int]] = {}
     for i, r in enumerate(rules()):
-        by_key.setdefault(r.keyword, []).append(i)
+        for key in r.keywords:
+            by_key.setdefault(key, []).append(i)
     found = ahocorasick.Automaton()
     for key, own in by_key.items():
         found.add_word(key, tuple(own))
     found.make_automaton()
-    return found, rules()
+    return found
 
 
 def detections(text: str) -> list[tuple[int, int, Rule]]:
-    """What the rules find in a lower-cased text, by start, after suppression.
-
-    Only rules whose keyword occurs are tried. In the order of priority, then length, then rule, a detection stays unless
-    an earlier one contains its interval.
-    """
-    automaton, every = _prefilter()
+    """What the rules find in a lower-cased text, by start, after suppression. Only rules with a keyword that occurs are tried."""
     wanted: set[int] = set()
-    for _, own in automaton.iter(text):
+    for _, own in _prefilter().iter(_GAPS.sub("-", text)):
         wanted.update(own)
-    if not wanted:
-        return []
+    return resolved(text, wanted) if wanted else []
+
+
+def resolved(text: str, wanted: Iterable[int]) -> list[tuple[int, int, Rule]]:
+    """What the wanted rules find in a lower-cased text, by start.
+
+    In the order of priority, then length, then rule, a detection stays unless an earlier one contains its interval.
+    """
+    every = rules()
     hits = [(m.start(), m.end(), i) for i in sorted(wanted) for m in every[i].pattern.finditer(text)]
     hits.sort(key=lambda h: (every[h[2]].priority, h[0] - h[1], h[2], h[0]))
     kept: list[tuple[int, int, int]] = []

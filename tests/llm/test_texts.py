@@ -153,6 +153,16 @@ def test_license_suppression_keeps_what_no_better_rule_contains():
     assert {r.label for _, _, r in found} >= {"mit", "apache"}
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("CC BY-NC-SA 4.0", "cc-by-nc-sa-4.0"), ("cc-by-sa", "cc-by-sa"), ("this is GPLv3 code", "gpl-3.0"), ("lgpl v2.1+", "lgpl-2.1"), ("Licensed under the\n  GPLv3", "gpl"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"), ("redistribution\n   and use in source and binary forms, with or without modification", "bsd"),
+    ("Neither the name of the copyright\nholder nor the names of its\ncontributors may be used", "bsd"), ("Permission is hereby\ngranted, free of charge,  to any person\nobtaining a copy", "mit"),
+    ("Creative Commons\nAttribution - NonCommercial 4.0", "cc-by-nc"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc"), ("SPDX-License-Identifier: MIT-0", "mit-0"), ("the BSD 3 clause", "bsd-3-clause"), ("sent as cc by mail", ""),
+])
+def test_license_spellings_and_wrapped_texts(text, label):
+    assert licenses.scan(text)[5] == label
+
+
 def test_secrets(spark):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [(1, f'x token = "{key}" y', "src/a.py"), (2, "an averagewordwithoutdigits here", "s"), (3, None, None), (4, "", "s"), (5, f"commit {key}", "docs/x.md"), (6, f"a\tä secret:{key};b", "s"), (1, f'x token = "{key}" y', "src/a.py"), (7, "w " * 30_000 + f"api_key = {key}", "s")]
