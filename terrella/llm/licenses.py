@@ -18,14 +18,14 @@ from .common import WORD, fresh
 #: label, SPDX identifier, how the name is written (a pattern over lower-cased text), keywords of which every name holds one,
 #: versions. In patterns a blank stands for any run of white space or hyphens; in keywords such runs are one hyphen. Fixed values.
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)", "mit", ""), ("mit-0", "mit-0", r"mit no attribution", "attribution", ""),
+    ("mit", "mit", r"(?:mit|expat)", "mit expat", ""), ("mit-0", "mit-0", r"mit no attribution", "attribution", ""),
     ("apache", "apache", r"apache(?: software)?", "apache", "1.0 1.1 2.0"), ("gpl", "gpl", r"gnu (?:general public|gpl)", "gnu", "1.0 2.0 3.0"),
     ("lgpl", "lgpl", r"gnu (?:lesser|library) general public", "gnu", "2.0 2.1 3.0"), ("agpl", "agpl", r"gnu affero general public", "affero", "1.0 3.0"),
-    ("gfdl", "gfdl", r"gnu free documentation", "gnu", "1.1 1.2 1.3"), ("bsd", "bsd", r"(?:bsd|berkeley software distribution)", "bsd", "1-clause 2-clause 3-clause 4-clause"),
-    ("0bsd", "0bsd", r"(?:zero[- ]clause|0-clause) bsd", "bsd", ""), ("isc", "isc", r"(?:isc|internet systems consortium)", "isc", ""),
+    ("gfdl", "gfdl", r"gnu free documentation", "gnu", "1.1 1.2 1.3"), ("bsd", "bsd", r"(?:bsd|berkeley software distribution)", "bsd berkeley-software-distribution", "1-clause 2-clause 3-clause 4-clause"),
+    ("0bsd", "0bsd", r"(?:zero[- ]clause|0-clause) bsd", "bsd", ""), ("isc", "isc", r"(?:isc|internet systems consortium)", "isc internet-systems-consortium", ""),
     ("mpl", "mpl", r"mozilla public", "mozilla", "1.0 1.1 2.0"), ("epl", "epl", r"eclipse public", "eclipse", "1.0 2.0"),
     ("edl", "edl", r"eclipse distribution", "eclipse", "1.0"), ("cddl", "cddl", r"common development and distribution", "distribution", "1.0 1.1"),
-    ("cpl", "cpl", r"common public", "common", "1.0"), ("cc0", "cc0", r"(?:cc0|creative commons zero)", "cc0", "1.0"),
+    ("cpl", "cpl", r"common public", "common", "1.0"), ("cc0", "cc0", r"(?:cc0|creative commons zero)", "cc0 creative-commons-zero", "1.0"),
     ("cc-by", "cc-by", r"creative commons attribution", "creative", "1.0 2.0 2.5 3.0 4.0"), ("cc-by-sa", "cc-by-sa", r"creative commons attribution[- ]share ?alike", "creative", "1.0 2.0 2.5 3.0 4.0"),
     ("cc-by-nc-sa", "cc-by-nc-sa", r"creative commons attribution[- ]non ?commercial[- ]share ?alike", "creative", "1.0 2.0 2.5 3.0 4.0"),
     ("cc-by-nc-nd", "cc-by-nc-nd", r"creative commons attribution[- ]non ?commercial[- ]no ?deriv\w*", "creative", "1.0 2.0 2.5 3.0 4.0"),
@@ -64,7 +64,7 @@ GRANTS = (
     ("public-domain", "public-domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
     ("gpl", "free-software-foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
     ("proprietary", "rights-reserved", r"all rights reserved"),
-    ("proprietary", "confidential", r"(?:proprietary and confidential|unauthorized copying of this file)"),
+    ("proprietary", "confidential unauthorized-copying", r"(?:proprietary and confidential|unauthorized copying of this file)"),
 )
 #: Identifiers that are common words: with a number they name a license only as written there.
 WORDS = {"apache", "artistic", "elastic", "hippocratic", "php"}

@@ -163,6 +163,18 @@ def test_license_spellings_and_wrapped_texts(text, label):
     assert licenses.scan(text)[5] == label
 
 
+def test_license_keywords_lose_nothing():
+    docs = ["licensed under the expat license", "the berkeley software distribution license", "internet  systems consortium license", "creative commons\nzero 1.0", "unauthorized copying of this file"]
+    assert [{r.label for _, _, r in licenses.detections(t)} for t in docs] == [{"mit"}, {"bsd"}, {"isc"}, {"cc0"}, {"proprietary"}]
+    for _, spdx, name, _, versions in licenses.FAMILIES:
+        names = [spdx, *re.sub(r"\\w[+*]|\[- \]\??| \?", " ", name).replace("(?:", "").replace(")", "").replace("?", "").split("|"), *re.findall(r"[a-z]{3,}(?: [a-z]+)*", name)]
+        docs += [f"{a}{n}{b}" for n in names for a in ("", "under ", "licensed under the ", "license: ") for b in (" license", "", *(f" {v}" for v in versions.split()))]
+    docs += [p.replace("[\\s\\S]{1,80}?", "us") for _, _, p in licenses.GRANTS]
+    every = range(len(licenses.rules()))
+    for t in docs:
+        assert licenses.detections(t) == licenses.resolved(t, every), t
+
+
 def test_secrets(spark):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [(1, f'x token = "{key}" y', "src/a.py"), (2, "an averagewordwithoutdigits here", "s"), (3, None, None), (4, "", "s"), (5, f"commit {key}", "docs/x.md"), (6, f"a\tä secret:{key};b", "s"), (1, f'x token = "{key}" y', "src/a.py"), (7, "w " * 30_000 + f"api_key = {key}", "s")]
