@@ -33,7 +33,7 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 20
-#: Rounds end when the ranks of all hosts together change by less.
+#: Rounds end when each host's rank changes by less than this share of itself; a host reached for the first time changes by all.
 SETTLED = 1e-3
 #: Distrust as a share of both, from which a host is blocked.
 SHARE = 0.5
@@ -87,9 +87,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             came = moves.join(rank.select("kind", F.col("host").alias("from"), "r"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("p") * F.col("r") * damping).alias("r"))
             kept = start.select("kind", "host", (F.col("r") * (1 - damping)).alias("r"))
             after = written(came.union(kept).groupBy("kind", "host").agg(F.sum("r").alias("r")), "ranks")
-            change = after.union(rank.select("kind", "host", (-F.col("r")).alias("r"))).groupBy("kind", "host").agg(F.abs(F.sum("r")).alias("d")).agg(F.sum("d")).first()[0]
+            was = rank.select("kind", "host", F.col("r").alias("was"))
+            moved = after.join(was, ["kind", "host"], "full").where(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) >= settled * F.greatest("r", "was"))
             rank = after
-            if (change or 0.0) < settled:
+            if moved.isEmpty():
                 break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))

@@ -129,6 +129,15 @@ def test_trust_runs_along_links_and_distrust_against_them(spark):
     assert urlfilter.judge(df.where("false")).collect() == []
 
 
+def test_ranks_reach_far_hosts_whatever_else_is_seeded(spark):
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(5)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("h0", 0, 1), ("alone", 0, 100_000)], "host string, trusted long, blocked long")
+    got = {r.host: r.distrust for r in urlfilter.propagate(edges, seeds).collect()}
+    assert set(got) == {"alone", *(f"h{i}" for i in range(6))}
+    for i in range(6):
+        assert got[f"h{i}"] == pytest.approx(0.15 * 0.85**i / 100_001, rel=1e-2)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from terrella.llm.common import written
