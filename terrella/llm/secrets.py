@@ -19,6 +19,9 @@ TREES, DEPTH = 24, 6
 #: Generated labelled findings; the bound of what the forest is fitted to.
 FINDINGS, SEED = 2_400, 7
 _CHARS = "[A-Za-z0-9+/=_-]"
+#: Values of 8 and more characters: behind an assignment in a piece, and the last of a piece.
+_ASSIGNED = r"""(?<=[A-Za-z0-9_][\"']?[:=]{1,2}[\"']?)([^\s\"'=:;,/][^\s\"'=:;,]{7,})"""
+_LAST = r"""([^\s\"'=:;,]{8,})[\"';,.)]*$"""
 #: Words of names, prose and placeholders; what they cover of a candidate speaks against it. Fixed values.
 DICTIONARY = "about account address admin after again array because before build button bytes class client cloud color config content count create data date default delete document domain download engine error event example false field file filter first format from function group handle hash header hello home image index input item keyboard label language length level library license line link list local login main manager message method model module name node number object option order other output page param parent password path people place plugin point private process project public query random record release request resource response result return sample schema screen script search secret select server service session simple size source start state status step string style system table target task template test text their there thing this time title token type update upload user value version view virtual window with word world write your".split()
 GOOD_WORDS = "token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer|client[_-]?secret"
@@ -56,21 +59,25 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
 def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, start and end (characters), value, before, after: every possible secret of every whole text.
 
-    Texts are cut at white space; a piece counts if it holds 16 characters of keys in a row, or has 8 and stands behind
-    an assignment. Three pieces before and one after are its surroundings. Each text is one pass through the array of its
-    pieces, without a shuffle.
+    Texts are cut at runs of white space. Candidates of a piece are its runs of 16 or more characters of keys, each value
+    of 8 or more that is assigned in it (`key=`, `key:`, quotes in between), its first one where the piece before ends in an
+    assignment, and its last one if it holds no such run and it, or the piece before, has an assignment. Three pieces before and one after are its surroundings. Each
+    text is one pass through the array of its pieces, without a shuffle.
     """
     flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")
-    pieces = docs.select(*keep, flat.alias("flat")).withColumn("pieces", F.split("flat", " "))
+    # Each piece starts with its white space, which keeps its place in the text; all pieces together are the text.
+    pieces = docs.select(*keep, flat.alias("flat")).withColumn("whole", F.regexp_extract_all("flat", F.lit(" *[^ ]+"), F.lit(0)))
+    pieces = pieces.withColumn("pieces", F.transform("whole", lambda w: F.ltrim(w)))
     at = pieces.select("*", F.posexplode("pieces").alias("at", "piece")).where(F.char_length("piece") >= SHORT)
-    back = lambda i: F.coalesce(F.get(F.col("pieces"), F.col("at") - i), F.lit(""))
-    set_ = back(1).rlike("[:=]$") | F.col("piece").rlike(r"[A-Za-z_][\"']?[:=][\"']?[^\s\"'/]")
-    at = at.where((F.char_length("piece") >= LONG) & F.col("piece").rlike(f"{_CHARS}{{{LONG}}}") | set_)
-    values = F.when(F.col("piece").rlike(f"{_CHARS}{{{LONG}}}"), F.regexp_extract_all("piece", F.lit(f"{_CHARS}{{{LONG},}}"), F.lit(0)))
-    values = values.otherwise(F.array(F.regexp_extract("piece", r"([^\s\"'=:;,]{8,})[\"';,.)]*$", 1)))
-    found = at.select("*", F.explode(F.array_distinct(values)).alias("value")).where("value <> ''")
+    back = lambda i: F.when(F.col("at") >= i, F.get(F.col("pieces"), F.col("at") - i)).otherwise(F.lit(""))
+    long_ = F.regexp_extract_all("piece", F.lit(f"{_CHARS}{{{LONG},}}"), F.lit(0))
+    assigned = F.regexp_extract_all("piece", F.lit(_ASSIGNED), F.lit(1))
+    set_ = back(1).rlike("[:=][\"']?$") | F.col("piece").rlike(r"[A-Za-z_][\"']?[:=][\"']?[^\s\"'/]")
+    last = F.when(set_ & ~F.col("piece").rlike(f"{_CHARS}{{{LONG}}}"), F.array(F.regexp_extract("piece", _LAST, 1))).otherwise(F.array().cast("array<string>"))
+    first = F.when(back(1).rlike("[:=][\"']?$"), F.array(F.regexp_extract("piece", r"^[\"']?([^\s\"'=:;,]{8,})", 1))).otherwise(F.array().cast("array<string>"))
+    found = at.select("*", F.explode(F.array_distinct(F.concat(long_, assigned, first, last))).alias("value")).where("value <> ''")
     offset = F.expr("locate(value, piece)") - 1
-    start = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.expr("char_length(substring_index(flat, ' ', at)) + 1")) + offset
+    start = F.expr("aggregate(slice(whole, 1, at), 0, (n, w) -> n + char_length(w)) + char_length(get(whole, at)) - char_length(piece)") + offset
     before = F.concat_ws(" ", back(3), back(2), back(1), F.expr("substring(piece, 1, locate(value, piece) - 1)"))
     after = F.concat_ws(" ", F.expr("substring(piece, locate(value, piece) + char_length(value))"), F.coalesce(F.get(F.col("pieces"), F.col("at") + 1), F.lit("")))
     return found.select(*keep, start.cast("long").alias("start"), (start + F.char_length("value")).cast("long").alias("end"), "value", before.alias("before"), after.alias("after"))

@@ -189,6 +189,13 @@ def test_secrets(spark):
         secrets.scan_secrets(docs.withColumn("score", F.lit(1)), keep=("doc_id", "score"))
 
 
+def test_short_secrets_anywhere_in_a_piece(spark):
+    texts = ["a=b;Pwd=S3cr3tPw9;Encrypt=true", "Uid=svc_account01;Pwd=S3cr3tPw9;", '{"user":"x","password":"S3cr3tPw9"}', "x password:  S3cr3tPw9 y", "password =\n\t  'S3cr3tPw9'", "pwd=S3cr3tPw9", "password: S3cr3tPw9;x=y", "user:password:S3cr3tPw9"]
+    found = secrets.candidates(frame(spark, list(enumerate(texts)), "doc_id long, text string"), "text", ["doc_id"]).collect()
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in found)
+    assert [i for i in range(len(texts)) if "S3cr3tPw9" in {r.value for r in found if r.doc_id == i}] == list(range(len(texts)))
+
+
 def test_secret_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.train(spark)
     fresh = spark.createDataFrame(secrets.labelled_findings(400, seed=99))
