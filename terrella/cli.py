@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InputError, TerrellaError
+from .errors import InputError, categorised
 from .operators import describe, regions
 from .plans import generate
 from .sinks import outputs
@@ -32,8 +32,13 @@ def check_flags(tokens: list[str]) -> None:
         seen.add(flag)
 
 
+class Parser(argparse.ArgumentParser):
+    def error(self, message: str) -> None:
+        raise InputError(message)
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="terrella", description=__doc__)
+    p = Parser(prog="terrella", description=__doc__, allow_abbrev=False)
     p.add_argument("mode", choices=["generate", "derive", "debug", "assign-regions", "describe"])
     for flag in FLAGS[:-3]:
         p.add_argument(flag, type=int if flag in ("--width", "--height") else str)
@@ -42,30 +47,70 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> None:
+#: Settings of a parameter file by the argument that goes before them.
+SETTINGS = {"seed": "seed", "width": "width", "height": "height", "map_h": "mapHPath", "map_r": "mapRPath", "map_v": "mapVPath", "output_file": "outputFile", "output_dir": "outputDir", "debug_output_file": "debugOutputFile"}
+
+
+def check_outputs(args: argparse.Namespace) -> None:
+    """Which outputs and inputs go with a mode; looked at before any work."""
+    if args.mode == "debug":
+        if not args.output_dir:
+            raise InputError("debug needs --output-dir")
+        if args.output_file:
+            raise InputError("--output-file does not go with debug; --debug-output-file does")
+        return
+    if not args.output_file:
+        raise InputError(f"{args.mode} needs --output-file")
+    for flag, given in (("--output-dir", args.output_dir), ("--debug-output-file", args.debug_output_file)):
+        if given:
+            raise InputError(f"{flag} does not go with {args.mode}")
+    if args.mode in ("assign-regions", "describe"):
+        if not args.input_file:
+            raise InputError(f"{args.mode} needs --input-file")
+    elif args.input_file:
+        raise InputError("--input-file goes with debug alone")
+    if args.mode == "derive" and not args.map_h:
+        raise InputError("derive needs --map-h")
+
+
+def settled_arguments(args: argparse.Namespace) -> dict:
+    """Fills args from the parameter file where the command line is silent, checks them, and gives the parameters."""
+    given, settings = params.read_params(args.params) if args.params else ({}, {})
+    if args.input_file and args.mode == "debug" and any((args.seed, args.width, args.height, args.params, args.map_h, args.map_r, args.map_v)):
+        raise InputError("--input-file goes with debug alone, without inputs for generation")
+    for name, key in SETTINGS.items():
+        if getattr(args, name) is None:
+            setattr(args, name, settings.get(key))
+    args.force = args.force or settings.get("force", False)
+    check_outputs(args)
+    if not args.input_file:
+        if args.seed is None:
+            raise InputError("a seed is needed")
+        args.seed = params.seed_of(args.seed)
+        args.width, args.height = params.side_of(args.width, "width"), params.side_of(args.height, "height")
+    return params.resolved(given)
+
+
+def session() -> SparkSession:
+    return SparkSession.builder.appName("terrella").getOrCreate()
+
+
+def run(spark: SparkSession | None, args: argparse.Namespace) -> None:
+    """Arguments are settled and checked before a session is begun, if none is given."""
+    settings = settled_arguments(args)
     if args.mode in ("assign-regions", "describe"):
-        companion(spark, args)
+        companion(spark or session(), args)
         return
     if args.input_file:
-        if args.mode != "debug" or any((args.seed, args.width, args.height, args.params, args.map_h)):
-            raise InputError("--input-file goes with debug alone, without inputs for generation")
         outputs.write_mode("debug", envelope.read_document(args.input_file), args.debug_output_file, args.output_dir, args.force)
         return
-    given, settings = params.read_params(args.params) if args.params else ({}, {})
-    seed = args.seed if args.seed is not None else settings.get("seed")
-    if seed is None:
-        raise InputError("a seed is needed")
-    width, height = (params.side_of(a if a is not None else settings.get(k), k) for k, a in (("width", args.width), ("height", args.height)))
-    if args.mode == "derive" and not args.map_h:
-        raise InputError("derive needs --map-h")
-    maps = {k: rasters.read_authored(spark, p, (width, height)) for k, p in (("h", args.map_h), ("r", args.map_r), ("v", args.map_v)) if p}
-    tiles = generate.generate(spark, params.seed_of(seed), width, height, params.resolved(given), maps)
+    spark = spark or session()
+    maps = {k: rasters.read_authored(spark, p, (args.width, args.height)) for k, p in (("h", args.map_h), ("r", args.map_r), ("v", args.map_v)) if p}
+    tiles = generate.generate(spark, args.seed, args.width, args.height, settings, maps)
     outputs.write_mode(args.mode, outputs.envelope(generate.nested(tiles), generate.SPEC), args.debug_output_file if args.mode == "debug" else args.output_file, args.output_dir, args.force)
 
 
 def companion(spark: SparkSession, args: argparse.Namespace) -> None:
-    if not args.input_file or not args.output_file:
-        raise InputError(f"{args.mode} needs --input-file and --output-file")
     data = envelope.read_document(args.input_file)
     tiles = envelope.tiles_of(spark, args.input_file)
     if args.mode == "describe":
@@ -95,10 +140,11 @@ def main(tokens: list[str] | None = None) -> int:
     tokens = sys.argv[1:] if tokens is None else tokens
     try:
         check_flags(tokens)
-        run(SparkSession.builder.appName("terrella").getOrCreate(), parser().parse_args(tokens))
-    except TerrellaError as e:
-        print(f"error: {e}", file=sys.stderr)
-        return e.exit_code
+        run(None, parser().parse_args(tokens))
+    except Exception as e:  # every failure ends in the exit code of its category
+        failure = categorised(e)
+        print(f"error: {failure}", file=sys.stderr)
+        return failure.exit_code
     return 0
 
 

@@ -21,3 +21,10 @@ class FileError(TerrellaError):
 
 class InternalError(TerrellaError):
     exit_code = 5
+
+
+def categorised(error: Exception) -> TerrellaError:
+    """The failure itself, or its category: what the system refuses is a matter of files, all else of this program."""
+    if isinstance(error, TerrellaError):
+        return error
+    return FileError(str(error)) if isinstance(error, OSError) else InternalError(str(error) or type(error).__name__)

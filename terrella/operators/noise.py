@@ -1,15 +1,17 @@
-"""Gradient noise as column expressions: permutation tables are constants made on the driver, tiles never leave the JVM."""
+"""Gradient noise as a vectorised kernel: permutation tables are constants made on the driver, a batch is a few array passes."""
 
 from __future__ import annotations
 
 import math
 from numbers import Real
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InputError
-from ..functions.columns import clamp01, f32, let
+from ..functions.columns import f32
 from ..functions.rng import permutation
 
 #: Gradients by the low three bits of a hash. Fixed values.
@@ -17,31 +19,22 @@ GRADIENTS = ((1, 1), (-1, 1), (1, -1), (-1, -1), (1, 0), (-1, 0), (0, 1), (0, -1
 SETTINGS = {"h": "heightNoise", "r": "roughnessNoise", "v": "vegVarianceNoise"}
 
 
-def constant(values: tuple[int, ...]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+_GX, _GY = (np.array([float(g[i]) for g in GRADIENTS]) for i in (0, 1))
 
 
-def gradient_noise(x: Column, y: Column, table: tuple[int, ...]) -> Column:
-    """Noise at a point, in [-1, 1]: quintic blend of four lattice gradients, over the root of two."""
-    p = constant(table)
-    at = lambda i: F.element_at(p, (i + 1).cast("int"))
-    ax = F.array(*[F.lit(float(g[0])) for g in GRADIENTS])
-    ay = F.array(*[F.lit(float(g[1])) for g in GRADIENTS])
-    dot = lambda h, dx, dy: F.element_at(ax, h.bitwiseAND(F.lit(7)) + 1) * dx + F.element_at(ay, h.bitwiseAND(F.lit(7)) + 1) * dy
+def gradient_noise(x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Noise at points, in [-1, 1]: quintic blend of four lattice gradients, over the root of two."""
+    dot = lambda h, dx, dy: _GX[h & 7] * dx + _GY[h & 7] * dy
     blend = lambda a, b, t: a + t * (b - a)
     fade = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
-    cell_x, cell_y = F.floor(x), F.floor(y)
-    xi, yi = F.pmod(cell_x, F.lit(256)).cast("int"), F.pmod(cell_y, F.lit(256)).cast("int")
+    cell_x, cell_y = np.floor(x), np.floor(y)
+    xi, yi = np.mod(cell_x, 256).astype(np.int64), np.mod(cell_y, 256).astype(np.int64)
     xf, yf = x - cell_x, y - cell_y
-
-    def corners(s: Column) -> Column:
-        xf, yf, left, right, yi = (s[k] for k in ("xf", "yf", "left", "right", "yi"))
-        u, v = fade(xf), fade(yf)
-        top = blend(dot(at(left + yi), xf, yf), dot(at(right + yi), xf - 1, yf), u)
-        bottom = blend(dot(at(left + yi + 1), xf, yf - 1), dot(at(right + yi + 1), xf - 1, yf - 1), u)
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), blend(top, bottom, v) / F.lit(math.sqrt(2))))
-
-    return let(F.struct(xf.alias("xf"), yf.alias("yf"), at(xi).alias("left"), at(xi + 1).alias("right"), yi.alias("yi")), corners)
+    left, right = table[xi] + yi, table[xi + 1] + yi
+    u, v = fade(xf), fade(yf)
+    top = blend(dot(table[left], xf, yf), dot(table[right], xf - 1, yf), u)
+    bottom = blend(dot(table[left + 1], xf, yf - 1), dot(table[right + 1], xf - 1, yf - 1), u)
+    return np.clip(blend(top, bottom, v) / math.sqrt(2), -1.0, 1.0)
 
 
 def settings(params: dict, name: str) -> dict:
@@ -60,13 +53,24 @@ def settings(params: dict, name: str) -> dict:
 def base_map(seed: int, name: str, params: dict) -> Column:
     """One of h, r, v: octaves of noise, summed in order, brought to [0, 1] and rounded to 32 bits."""
     own = settings(params, name)
-    total, weight, frequency, amplitude = F.lit(0.0), 0.0, float(own["baseFrequency"]), 1.0
-    for octave in range(int(own["octaves"])):
-        total = total + gradient_noise(F.col("x") * F.lit(frequency), F.col("y") * F.lit(frequency), permutation(seed, name, octave)) * F.lit(amplitude)
-        weight += amplitude
-        frequency *= own["lacunarity"]
-        amplitude *= own["persistence"]
-    return f32(clamp01((total / F.lit(weight) + 1) / 2))
+    tables = [np.array(permutation(seed, name, octave)) for octave in range(int(own["octaves"]))]
+    frequency, lacunarity, persistence = float(own["baseFrequency"]), own["lacunarity"], own["persistence"]
+
+    @F.pandas_udf("double")
+    def mapped(x: pd.Series, y: pd.Series) -> pd.Series:
+        at_x, at_y = (c.to_numpy(float, na_value=np.nan) for c in (x, y))
+        there = np.isfinite(at_x) & np.isfinite(at_y)
+        total, weight, scale, amplitude = np.zeros(int(there.sum())), 0.0, frequency, 1.0
+        for table in tables:
+            total = total + gradient_noise(at_x[there] * scale, at_y[there] * scale, table) * amplitude
+            weight += amplitude
+            scale *= lacunarity
+            amplitude *= persistence
+        out = np.full(len(at_x), np.nan)
+        out[there] = np.clip((total / weight + 1) / 2, 0.0, 1.0).astype(np.float32)
+        return pd.Series(out)
+
+    return mapped(F.col("x"), F.col("y"))
 
 
 def with_base_maps(tiles: DataFrame, seed: int, params: dict, authored: dict[str, DataFrame] | None = None) -> DataFrame:

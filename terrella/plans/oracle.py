@@ -113,11 +113,10 @@ def steps(p: dict, seed: int) -> dict[str, str]:
         "passable": f"SELECT a.x, a.y, i, dir, ({rise_codes})::INTEGER AS code, (b.x IS NOT NULL AND NOT {edge.format(x='b.x', y='b.y', i=inset)} AND b.h - a.h >= {num(mv['steepBlockDelta'])} AND a.slope >= {num(mv['cliffSlopeMin'])}) AS cliff FROM hydro a CROSS JOIN ring LEFT JOIN hydro b ON b.x = a.x + dx AND b.y = a.y + dy",
         "packed": "SELECT x, y, sum(code << (2 * i))::INTEGER AS pass_packed, sum(CASE WHEN cliff THEN 1 << i ELSE 0 END)::INTEGER AS cliff_packed FROM passable GROUP BY x, y",
         "shores": "SELECT DISTINCT x, y FROM (SELECT a.x, a.y FROM hydro a, dirs JOIN hydro b ON b.x = a.x + dx AND b.y = a.y + dy WHERE a.water <> 1 AND b.water = 1)",
-        # Sparse tiles of the region queries: heights in five classes, every seventh cell of a diagonal pattern missing.
-        "sparse": "SELECT x, y, (['a', 'b', 'c', 'd', 'e'])[least(4, floor(h * 5))::INTEGER + 1] AS biome FROM base WHERE y < 48 AND (x * 3 + y * 5) % 7 <> 0",
-        "pairs": "SELECT a.x, a.y, a.biome, b.x AS tx, b.y AS ty, b.biome AS bb FROM sparse a, dirs JOIN sparse b ON b.x = a.x + dx AND b.y = a.y + dy",
-        "reach": "SELECT x, y, x AS rx, y AS ry FROM sparse UNION SELECT reach.x, reach.y, tx, ty FROM reach JOIN pairs p ON p.x = reach.rx AND p.y = reach.ry AND p.biome = p.bb",
-        "labels": "SELECT x, y, min(ry * 64 + rx) AS label FROM reach GROUP BY x, y",
+        # All tiles of the region queries, heights in five classes. Labels travel from tile to tile, the least one stays.
+        "sparse": "SELECT x, y, (['a', 'b', 'c', 'd', 'e'])[least(4, floor(h * 5))::INTEGER + 1] AS biome FROM base",
+        "pairs": "SELECT a.x, a.y, b.x AS tx, b.y AS ty FROM sparse a, dirs JOIN sparse b ON b.x = a.x + dx AND b.y = a.y + dy AND b.biome = a.biome",
+        "labels": "SELECT x, y, y * 64 + x AS label FROM sparse UNION SELECT p.x, p.y, min(l.label) FROM labels l JOIN pairs p ON l.x = p.tx AND l.y = p.ty JOIN recurring.labels o ON o.x = p.x AND o.y = p.y WHERE l.label < o.label GROUP BY p.x, p.y",
         "regions": "SELECT s.x, s.y, biome, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS region FROM sparse s JOIN labels USING (x, y)",
         "borders": "SELECT a.region, b.region AS o FROM regions a, dirs JOIN regions b ON b.x = a.x + dx AND b.y = a.y + dy WHERE a.region <> b.region GROUP BY 1, 2",
         "rims": "SELECT region, bool_or(n < 8) AS open FROM (SELECT a.region, a.x, a.y, count(b.x) AS n FROM regions a CROSS JOIN dirs LEFT JOIN regions b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY 1, 2, 3) GROUP BY region",
@@ -126,7 +125,9 @@ def steps(p: dict, seed: int) -> dict[str, str]:
     }
 
 
-RECURSIVE = ("walk", "reach", "shared", "spread")
+RECURSIVE = ("walk", "shared", "spread")
+#: Recursive steps whose newer rows take the place of older ones of the same key.
+KEYED = {"labels": "labels USING KEY (x, y)"}
 
 
 def noise(p: dict, seed: int) -> str:
@@ -170,4 +171,4 @@ def query(p: dict, seed: int, select: str) -> str:
 
     need(select)
     kept = [(n, s) for n, s in every.items() if n in wanted]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({s})" for n, s in kept) + f"\n{select}"
+    return "WITH RECURSIVE " + ",\n".join(f"{KEYED.get(n, n)} AS {'' if n in RECURSIVE or n in KEYED else 'MATERIALIZED '}({s})" for n, s in kept) + f"\n{select}"

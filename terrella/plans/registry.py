@@ -21,7 +21,7 @@ SEED = 42
 PARAMS = merged(DEFAULTS, {"hydrology": {"lakeFlatSlopeThreshold": 0.1, "lakeAccumThreshold": 0.4, "streamAccumThreshold": 0.45}, "gameTrails": {"streamEndpointAccumThreshold": 0.5}})
 GROWN = merged(PARAMS, {"hydrology": {"lakeGrowSteps": 2, "lakeGrowHeightDelta": 0.05}})
 W = rasters.SIDE
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Sizes and times of the files that the stages are made from, whatever store holds them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [store.getFileStatus(path), *store.listStatus(path)]
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage that several queries start from, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A stage that several queries start from, written once a session and state of the inputs."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
     if key not in _KEPT:
         _KEPT[key] = settled(make(), name)
     return _KEPT[key]
@@ -77,7 +85,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole raster's tiles, heights in five classes. The oracle SQL still holds a subset of them (see README)."""
+    """The whole raster's tiles, heights in five classes."""
     names = F.array(*map(F.lit, "abcde"))
     return base(spark, sf_dir).select("grid_id", "x", "y", F.element_at(names, F.least(F.lit(4), F.floor(F.col("h") * 5).cast("int")) + 1).alias("biome"))
 
@@ -105,8 +113,7 @@ def passability_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = navigation.with_followable(hydro(spark, sf_dir).withColumn("trail", F.lit(False)))
-    return tiles.select("x", "y", "follow")
+    return navigation.with_followable(hydro(spark, sf_dir).withColumn("trail", F.lit(False))).select("x", "y", "follow")
 
 
 def lake_growth(spark: SparkSession, sf_dir: str) -> DataFrame:

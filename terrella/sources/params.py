@@ -47,7 +47,9 @@ DEFAULTS: dict[str, Any] = {
 }
 #: A key that older files put at the top.
 OLD_STRENGTH = "vegVarianceStrength"
-WRAPPER = ("seed", "width", "height", "params")
+#: Keys of a file that holds a whole run: the parameters, sides and seed, where things are, and whether to overwrite.
+PATHS = ("mapHPath", "mapRPath", "mapVPath", "outputFile", "outputDir", "debugOutputFile")
+WRAPPER = ("seed", "width", "height", "params", *PATHS, "force")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -108,7 +110,11 @@ def side_of(value: Any, name: str) -> int:
 
 
 def read_params(path: str, base: str = ".") -> tuple[dict, dict]:
-    """(params, run settings) of a JSON file, bare or wrapped; relative paths start at base. A seed counts only as text."""
+    """(params, run settings) of a JSON file, bare or wrapped; its own path starts at base, paths in it at its folder.
+
+    A file is a wrapper if any of a wrapper's keys is there. Settings of a wrong type are as if not given: a seed counts
+    only as text, sides as numbers, paths as text, force as true or false.
+    """
     full = os.path.join(base, path)
     try:
         with open(full, encoding="utf-8") as f:
@@ -120,10 +126,12 @@ def read_params(path: str, base: str = ".") -> tuple[dict, dict]:
     if not isinstance(data, dict):
         raise InputError("a parameter file must hold an object")
     run: dict = {}
-    if "params" in data:
+    if any(k in data for k in WRAPPER):
         check_keys(data, dict.fromkeys(WRAPPER), "file")
-        run = {k: data[k] for k in ("seed", "width", "height") if k in data and (k != "seed" or isinstance(data[k], str))}
-        data = data["params"]
+        right = lambda k: isinstance(data[k], bool) if k == "force" else isinstance(data[k], (int, float)) and not isinstance(data[k], bool) if k in ("width", "height") else isinstance(data[k], str)
+        run = {k: data[k] for k in WRAPPER if k != "params" and k in data and right(k)}
+        run |= {k: os.path.join(os.path.dirname(os.path.abspath(full)), run[k]) for k in PATHS if k in run}
+        data = data.get("params", {})
         if not isinstance(data, dict):
             raise InputError("params must be an object")
     check_keys(data, DEFAULTS, also=(OLD_STRENGTH,))

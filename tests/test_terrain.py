@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -230,6 +231,82 @@ def test_companions(spark, generated, tmp_path):
             check_flags(bad)
 
 
+@pytest.mark.parametrize(("tokens", "code"), [
+    (["generate", "--seed", "1", "--width", "2", "--height", "2", "--output-dir", "d", "--output-file", "f"], 2),
+    (["generate", "--seed", "1", "--width", "2", "--height", "2", "--output-file", "f", "--debug-output-file", "g"], 2),
+    (["debug", "--seed", "1", "--width", "2", "--height", "2", "--output-file", "f", "--output-dir", "d"], 2),
+    (["debug", "--seed", "1", "--width", "2", "--height", "2"], 2),
+    (["derive", "--seed", "1", "--width", "2", "--height", "2", "--output-file", "f"], 2),
+    (["generate", "--width", "2", "--height", "2", "--output-file", "f"], 2),
+    (["generate", "--seed", "x", "--width", "2", "--height", "2", "--output-file", "f"], 2),
+    (["generate", "--seed", "1", "--width", "0", "--height", "2", "--output-file", "f"], 2),
+    (["generate", "--seed", "1", "--width", "two", "--height", "2", "--output-file", "f"], 2),
+    (["generate", "--see", "1"], 2),
+    (["paint"], 2),
+    (["describe", "--output-file", "f"], 2),
+    (["generate", "--input-file", "i", "--output-file", "f"], 2),
+    (["debug", "--input-file", "/nowhere/in.json", "--output-dir", "d"], 4),
+    (["generate", "--params", "/nowhere/p.json"], 4),
+])
+def test_exit_codes_before_any_work(tokens, code, monkeypatch, capsys):
+    from terrella import cli
+
+    monkeypatch.setattr(cli, "session", lambda: pytest.fail("a session was begun"))
+    assert cli.main(tokens) == code and capsys.readouterr().err.startswith("error: ")
+
+
+def test_unforeseen_failures_have_exit_codes(monkeypatch):
+    from terrella import cli
+
+    for failure, code in ((PermissionError("no"), 4), (KeyError("x"), 5), (RuntimeError(), 5)):
+        def fails(*_, failure=failure):
+            raise failure
+
+        monkeypatch.setattr(cli, "run", fails)
+        assert cli.main(["generate"]) == code
+
+
+def test_a_parameter_file_may_hold_a_whole_run(spark, tmp_path):
+    from terrella import cli
+
+    heights = {"width": 3, "height": 2, "data": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]}
+    (tmp_path / "h.json").write_text(json.dumps(heights))
+    whole = {"seed": "7", "width": 3, "height": 2, "mapHPath": "h.json", "outputFile": "out/tiles.json", "force": True, "params": {"grid": {"playableInset": 0}}}
+    (tmp_path / "run.json").write_text(json.dumps(whole))
+    for _ in range(2):
+        cli.run(spark, cli.parser().parse_args(["derive", "--params", str(tmp_path / "run.json")]))
+    data = json.loads((tmp_path / "out" / "tiles.json").read_text())
+    assert [t["topography"]["h"] for t in data["tiles"]] == pytest.approx(heights["data"], abs=1e-7)
+    other = str(tmp_path / "other.json")
+    cli.run(spark, cli.parser().parse_args(["derive", "--params", str(tmp_path / "run.json"), "--output-file", other]))
+    assert json.load(open(other)) == data
+    (tmp_path / "bare.json").write_text(json.dumps({"seed": 5, "outputDir": "d"}))
+    args = cli.parser().parse_args(["debug", "--params", str(tmp_path / "bare.json")])
+    with pytest.raises(InputError, match="seed"):
+        cli.settled_arguments(args)
+    assert args.output_dir == str(tmp_path / "d")
+    (tmp_path / "odd.json").write_text(json.dumps({"seed": "5", "outputFil": "d"}))
+    with pytest.raises(InputError, match="outputFile"):
+        cli.settled_arguments(cli.parser().parse_args(["generate", "--params", str(tmp_path / "odd.json")]))
+
+
+def test_shared_folder(spark, tmp_path):
+    from terrella.functions import storage
+
+    t = storage.settled(spark.range(7).where("id > 2"), "t")
+    assert storage.rows(t) == 4 == t.count() and storage.rows(spark.range(3)) == 3
+    assert storage.rows(storage.settled(spark.range(7).where("false"))) == 0
+    storage.discard(t, spark.range(1))
+    assert not os.path.exists(t._settled_path.removeprefix("file://"))
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_path(Elsewhere, "x")
+
+
 def tile(**over):
     near = {d: {"biome": "pine_heath", "water": "none", "elevDelta": 0.0, "densityDelta": 0.0, "followable": []} for d in describe.DIRS}
     base = {"biome": "pine_heath", "landform": "flat", "moisture": 0.4, "standingWater": False, "passability": dict.fromkeys(describe.DIRS, "passable"), "flowDirection": None, "slopeDirection": "S", "slopeStrength": 0.0, "obstacles": [], "followable": [], "visibility": "long", "neighbors": near}
