@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard as discard
+from ..functions.storage import rows as rows_of
 from ..functions.storage import settled as written
 from ..functions.storage import shared_path as shared_path
 
@@ -16,7 +20,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: A side may be broadcast while it is known to hold no more bytes than this.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,9 +43,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Within it, jobs hand Python workers so many rows at a time, which bounds their memory where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows prove it small, else as it is. df should be a written table."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """df with a broadcast hint if its counted rows, of row_bytes at most each, prove it small, else as it is."""
+    return F.broadcast(df) if rows_of(df) * row_bytes <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

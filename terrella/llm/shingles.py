@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _rng = np.random.default_rng(20_240_601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -38,20 +40,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together hold about SLICE_BYTES."""
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a column of texts that together hold about SLICE_BYTES, and the texts there; null is empty."""
+    raw = column.cast(pa.large_binary())
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
-            yield at, i
+    for i, n in enumerate(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        if size and size + n > SLICE_BYTES:
+            yield at, i, [t or b"" for t in raw.slice(at, i - at).to_pylist()]
             at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+        size += n + 1
+    if at < len(raw):
+        yield at, len(raw), [t or b"" for t in raw.slice(at).to_pylist()]
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each run of `width` words, A-Z lower-cased; of a shorter text, the whole sequence as one."""
+    """(text number, hash) of each run of `width` words, A-Z lower-cased; of a shorter text, the whole sequence as one.
+
+    In the order of the texts.
+    """
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ends = np.cumsum(sizes)
@@ -89,23 +95,61 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         out.append(np.array([h], U64))
     if not out:
         return np.empty(0, np.int64), np.empty(0, U64)
-    return np.concatenate(out_doc), mixed(np.concatenate(out))
+    docs, h = np.concatenate(out_doc), mixed(np.concatenate(out))
+    if len(first):
+        order = np.argsort(docs, kind="stable")
+        docs, h = docs[order], h[order]
+    return docs, h
 
 
-def ordered_sets(texts: list[bytes], width: int, late: np.ndarray, late_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets by text, hashes): each text's distinct shingles in the global order.
+class Late:
+    """Shingles that come last in the global order, by rank; all others come first, by hash."""
 
-    The order: shingles that are not in `late` (sorted), by hash; then those in it, by late_rank.
-    """
+    BITS = 22
+
+    def __init__(self, least_first: np.ndarray) -> None:
+        """The late shingles, in their order."""
+        order = np.argsort(least_first)
+        self.tokens, self.rank = least_first[order], order
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self.tokens >> U64(64 - self.BITS)] = True
+
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A sorted set's early shingles, and its late ones in their order."""
+        at = np.flatnonzero(self.maybe[s >> U64(64 - self.BITS)])
+        if not len(at):
+            return s, s[:0]
+        place = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+        hit = self.tokens[place] == s[at]
+        at, place = at[hit], place[hit]
+        early = np.ones(len(s), bool)
+        early[at] = False
+        return s[early], s[at[np.argsort(self.rank[place])]]
+
+
+def sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
     doc, h = shingles(texts, width)
-    key = h >> U64(1)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, h), len(late) - 1)
-        common = late[at] == h
-        key[common] = U64(1 << 63) + late_rank[at[common]].astype(U64)
-    order = np.lexsort((h, key, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    doc, h = doc[new], h[new]
-    return np.searchsorted(doc, np.arange(len(texts) + 1)), h
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    out = []
+    for i, j in zip(ends[:-1], ends[1:], strict=True):
+        s = h[i:j]
+        s.sort()
+        if j - i > 1:
+            new = np.empty(j - i, bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        out.append(s)
+    return out
+
+
+def parities(own: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each set, whether the number of its shingles in each of `bits` buckets is odd; as rows of 64-bit integers.
+
+    Two sets differ in at least as many shingles as their parities differ in buckets.
+    """
+    row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    at = np.concatenate(own) & U64(bits - 1) if own else np.empty(0, U64)
+    odd = np.bincount(row * bits + at.astype(np.int64), minlength=len(own) * bits).reshape(len(own), bits) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.int64).reshape(len(own), bits // 64)
