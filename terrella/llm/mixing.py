@@ -53,7 +53,7 @@ def source_weights(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Da
     return sources.withColumn("weight", F.get(F.array(*map(F.lit, weights)), turn).cast("long"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", epochs: int = EPOCHS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", epochs: int = EPOCHS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with size, source_size, target and copies (0 to epochs): how often the mix takes each row.
 
     All rows of a source are taken floor(target / source_size) times, and a seeded choice of them once more: in the
@@ -62,33 +62,33 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     the md5), with the sums of whole parts before; no source is one task. The order does not depend on the parts.
 
     Null texts have size 0 and, like all rows of size 0, get only whole repetitions. Null sources are a source of their
-    own. Null doc_ids share one key. Equal rows are interchangeable: how many of them are taken is determined. Extra
-    columns stay; the added names get leading underscores if docs has them already. An empty table gives no rows.
+    own. Null doc_ids share one key; their rows come behind the part that holds it, in the order of size and tie, and
+    are parts of their own by both. Rows with equal ids go by size, then tie (a hash of the text, unless one is given),
+    so reruns agree; rows equal in all of it are interchangeable, and how many of them are taken is determined. Long
+    texts are read once, for their size. Extra columns stay; the added names get leading underscores if docs has them
+    already. An empty table gives no rows.
     """
-    n_size, n_total, n_target, n_copies, n_key, n_part = fresh(docs, "size", "source_size", "target", "copies", "_key", "_part")
+    n_size, n_total, n_target, n_copies, n_key, n_tie, n_part, n_s, n_p, n_before = fresh(docs, "size", "source_size", "target", "copies", "_key", "_tie", "_part", "_s", "_p", "_before")
+    id_ = F.col(doc_id).cast("string")
     keyed = docs.withColumn(n_size, size if size is not None else token_count(F.col(text)))
-    keyed = keyed.withColumn(n_key, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
-    keyed = keyed.withColumn(n_part, F.substring(n_key, 1, PART_DIGITS))
+    keyed = keyed.withColumn(n_key, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_, F.lit("")))))
+    keyed = keyed.withColumn(n_tie, F.lpad(F.hex(tie if tie is not None else F.xxhash64(text)), 16, "0"))
+    without_id = F.concat(F.lit(":"), F.lpad(F.col(n_size).cast("string"), 19, "0"), F.substring(n_tie, 1, 2))
+    keyed = keyed.withColumn(n_part, F.concat(F.substring(n_key, 1, PART_DIGITS), F.when(id_.isNull(), without_id).otherwise("")))
     parts = keyed.groupBy(F.col(source).alias("source"), F.col(n_part).alias("part")).agg(F.sum(n_size).alias("part_size"))
     sources = water_fill(source_weights(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights), epochs)
     in_order = Window.partitionBy("source").orderBy("part")
     parts = parts.withColumn("part_before", F.sum("part_size").over(in_order) - F.col("part_size"))
     plan = parts.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(
-        F.col("p.source").alias("_s"), F.col("p.part").alias("_p"), F.col("part_before").alias("_before"), F.col("source_size").alias("_total"), F.col("target").alias("_target")
+        F.col("p.source").alias(n_s), F.col("p.part").alias(n_p), F.col("part_before").alias(n_before), F.col("source_size").alias(n_total), F.col("target").alias(n_target)
     )
-    running = Window.partitionBy(source, n_part).orderBy(n_key, n_size, F.col(doc_id))
-    before = F.col("_before") + F.sum(n_size).over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n_size)
-    whole = F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.col("_total"))).otherwise(F.lit(0)).cast("long")
-    left = F.col("_target") - whole * F.col("_total")
-    joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_s")) & (F.col(n_part) == F.col("_p"))).withColumn("_before", before)
-    extra = (F.col(n_size) > 0) & (F.lit(2.0) * F.col("_before") + F.col(n_size) <= F.lit(2.0) * left)
-    return joined.select(
-        *docs.columns,
-        n_size,
-        F.col("_total").alias(n_total),
-        F.col("_target").alias(n_target),
-        (whole + F.when(extra, 1).otherwise(0)).cast("long").alias(n_copies),
-    )
+    running = Window.partitionBy(source, n_part).orderBy(n_key, n_size, F.col(doc_id), n_tie).rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.join(plan, F.col(source).eqNullSafe(F.col(n_s)) & (F.col(n_part) == F.col(n_p)))
+    joined = joined.withColumn(n_before, F.col(n_before) + F.sum(n_size).over(running) - F.col(n_size))
+    whole = F.when(F.col(n_total) > 0, F.floor(F.col(n_target) / F.col(n_total))).otherwise(F.lit(0)).cast("long")
+    left = F.col(n_target) - whole * F.col(n_total)
+    extra = (F.col(n_size) > 0) & (F.lit(2.0) * F.col(n_before) + F.col(n_size) <= F.lit(2.0) * left)
+    return joined.select(*docs.columns, n_size, n_total, n_target, (whole + F.when(extra, 1).otherwise(0)).cast("long").alias(n_copies))
 
 
 def repeated(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
@@ -99,8 +99,8 @@ def repeated(mixed: DataFrame, columns: list[str], copies: str = "copies") -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_words"))
-    mixed = mix(sized, size=F.col("n_words"))
+    sized = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("digest"))
+    mixed = mix(sized, size=F.col("n_words"), tie=F.col("digest"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
