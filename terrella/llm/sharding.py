@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_size, fresh
+from .common import byte_size, fresh, written
 
 BITS = 4
 SHARDS = 16
@@ -54,15 +54,32 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.element_at(table(places, "long"), at + 1)
 
 
-def categorical(c: Column, bits: int = BITS) -> Column:
-    """Cell of a category: its hash; null has cell 0."""
-    return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << bits)).cast("int"))
+def categorical(docs: DataFrame, c: Column, bits: int = BITS) -> Column:
+    """Cell of a category: the commonest have one each, the others share the rest by hash; null has cell 0.
+
+    All rows are counted; the driver gets the 2^bits - 4 commonest (ties to the smaller name).
+    """
+    cells = 1 << bits
+    name = c.cast("string")
+    own = cells - 4 if bits > 2 else 0
+    top = docs.where(name.isNotNull()).groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "name").limit(own).select("name").collect()
+    place = F.array_position(F.array(*[F.lit(r[0]) for r in sorted(top)]).cast("array<string>"), name)
+    shared = F.pmod(F.xxhash64(name), F.lit(cells - 1 - own)) + 1 + own
+    return F.when(name.isNull(), F.lit(0)).when(place > 0, place).otherwise(shared).cast("int")
 
 
-def magnitude(c: Column, bits: int = BITS) -> Column:
-    """Cell of a size: twice its binary logarithm from 16 on, so that cells are half octaves; null has cell 0."""
-    cell = F.floor(F.log2(F.greatest(c.cast("double"), F.lit(1.0)) / 16) * 2)
-    return F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+def magnitude(docs: DataFrame, c: Column, bits: int = BITS) -> Column:
+    """Cell of a size, by its rank: eighths of octaves are counted over all rows and cut into runs of like many rows.
+
+    Null, and what is not positive, counts as 1. The driver gets the counts, at most 512 of them.
+    """
+    step = F.least(F.floor(F.log2(F.greatest(F.coalesce(c.cast("double"), F.lit(1.0)), F.lit(1.0))) * 8), F.lit(511)).cast("int")
+    counts = sorted(docs.groupBy(step.alias("step")).count().collect())
+    rows, seen, cells = sum(n for _, n in counts), 0, [0] * 512
+    for at, n in counts:
+        cells[at] = min((1 << bits) - 1, ((2 * seen + n) << bits) // (2 * rows))
+        seen += n
+    return F.element_at(table(cells, "int"), step + 1)
 
 
 def hilbert_shards(docs: DataFrame, cells: list[Column], row_key: list[Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -76,7 +93,7 @@ def hilbert_shards(docs: DataFrame, cells: list[Column], row_key: list[Column],
     interchangeable. Null coordinates are 0. Extra columns stay; clashing names get leading underscores. An empty table
     gives no rows.
     """
-    n_curve, n_shard, n_slot, n_hash, n_part = fresh(docs, "curve", "shard", "slot", "_hash", "_part")
+    n_curve, n_shard, n_slot, n_hash, n_part, n_c, n_p, n_start, n_rank = fresh(docs, "curve", "shard", "slot", "_hash", "_part", "_c", "_p", "_start", "_rank")
     curve = hilbert_index(cells, bits)
     counts = dict(docs.groupBy(curve.alias("c")).agg(F.count(F.lit(1))).collect())
     rows, below, split = 0, [], []
@@ -88,24 +105,25 @@ def hilbert_shards(docs: DataFrame, cells: list[Column], row_key: list[Column],
     unsigned = F.col(n_hash).bitwiseXOR(F.lit(-(1 << 63)))
     placed = docs.withColumn(n_curve, curve).withColumn(n_hash, F.xxhash64(*row_key))
     placed = placed.withColumn(n_part, F.when(of_cell(split, "int") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", unsigned, 64 - of_cell(split, "int"))))
-    parts = placed.groupBy(F.col(n_curve).alias("_c"), F.col(n_part).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.withColumn("_start", F.sum("_n").over(Window.partitionBy("_c").orderBy("_p")) - F.col("_n")).drop("_n")
-    joined = placed.join(parts, (F.col(n_curve) == F.col("_c")) & (F.col(n_part) == F.col("_p")))
+    parts = placed.groupBy(F.col(n_curve).alias(n_c), F.col(n_part).alias(n_p)).agg(F.count(F.lit(1)).alias(n_rank))
+    parts = parts.withColumn(n_start, F.sum(n_rank).over(Window.partitionBy(n_c).orderBy(n_p)) - F.col(n_rank)).drop(n_rank)
+    joined = placed.join(parts, (F.col(n_curve) == F.col(n_c)) & (F.col(n_part) == F.col(n_p)))
     order = Window.partitionBy(n_curve, n_part).orderBy(n_hash, *row_key)
-    ranked = joined.withColumn("_rank", of_cell(below, "long") + F.col("_start") + F.row_number().over(order) - 1)
-    ranked = ranked.withColumn(n_shard, F.expr(f"cast(_rank * {shards}L div {max(rows, 1)}L as int)"))
-    slot = F.expr(f"_rank - (cast(`{n_shard}` as long) * {rows}L + {shards - 1}L) div {shards}L")
+    ranked = joined.withColumn(n_rank, of_cell(below, "long") + F.col(n_start) + F.row_number().over(order) - 1)
+    ranked = ranked.withColumn(n_shard, F.expr(f"cast(`{n_rank}` * {shards}L div {max(rows, 1)}L as int)"))
+    slot = F.expr(f"`{n_rank}` - (cast(`{n_shard}` as long) * {rows}L + {shards - 1}L) div {shards}L")
     return ranked.withColumn(n_slot, slot).select(*docs.columns, n_curve, n_shard, n_slot)
 
 
-def metadata_cells(size: Column, source: Column, lang: Column) -> list[Column]:
-    return [magnitude(size), categorical(source), categorical(lang)]
+def metadata_cells(docs: DataFrame, size: Column, source: Column, lang: Column) -> list[Column]:
+    """Cells of docs' rows by size, source and language, from counts of all of them."""
+    return [magnitude(docs, size), categorical(docs, source), categorical(docs, lang)]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    slim = docs.select("doc_id", "lang", "source", (byte_size(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    cells = metadata_cells(F.col("size"), F.col("source"), F.col("lang"))
+    slim = written(docs.select("doc_id", "lang", "source", (byte_size(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32")), "slim")
+    cells = metadata_cells(slim, F.col("size"), F.col("source"), F.col("lang"))
     out = hilbert_shards(slim, cells, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
