@@ -53,21 +53,183 @@ FAMILIES = (
     ("mulanpsl", "mulanpsl", r"mulan (?:permissive software|psl)", "mulan", "1.0 2.0"), ("blueoak", "blueoak", r"blue oak model", "oak", "1.0.0"),
     ("hippocratic", "hippocratic", r"hippocratic", "hippocratic", "2.1"), ("llama", "llama", r"llama (?:2|3|community)", "llama", ""),
 )
-#: Grant texts that name no license. Label, keywords, pattern. Fixed values.
-GRANTS = (
-    ("mit", "hereby-granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "purpose-with-or-without-fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution-and-use", r"redistribution and use in source and binary forms,? with or without modification"),
-    ("bsd", "neither-the-name", r"neither the name of [\s\S]{1,80}? nor the names of its contributors"),
-    ("zlib", "express-or-implied", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("unlicense", "public-domain", r"free and unencumbered software released into the public domain"),
-    ("public-domain", "public-domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("gpl", "free-software-foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
-    ("proprietary", "rights-reserved", r"all rights reserved"),
-    ("proprietary", "confidential unauthorized-copying", r"(?:proprietary and confidential|unauthorized copying of this file)"),
-)
+#: Sentences of licenses and notices, each a signature of its own: label, pattern. Fixed values.
+GRANTS = tuple(tuple(line.split(" | ", 1)) for line in r"""
+mit | permission is hereby granted, free of charge, to any person obtaining a copy
+mit | the above copyright notice and this permission notice shall be included in all copies
+mit | to deal in the software without restriction, including without limitation the rights
+mit | sublicense, and(?:/or)? sell copies of the software
+mit-0 | permission is hereby granted, free of charge, to any person obtaining a copy of this software .{0,60}without restriction, .{0,40}no attribution
+isc | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee
+isc | provided that the above copyright notice and this permission notice appear in all copies
+0bsd | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\.
+bsd | redistribution and use in source and binary forms,? with or without modification
+bsd | redistributions of source code must retain the above copyright notice
+bsd | redistributions in binary form must reproduce the above copyright notice
+bsd | neither the name of [\s\S]{1,80}? nor the names of its contributors
+bsd-4-clause | all advertising materials mentioning features or use of this software must display
+bsd | this software is provided by the (?:copyright holders and contributors|regents and contributors|author) .as is.
+bsd-3-clause-clear | no express or implied licenses to any party's patent rights are granted
+zlib | this software is provided 'as-is', without any express or implied warranty
+zlib | the origin of this software must not be misrepresented
+zlib | altered source versions must be plainly marked as such
+libpng | this copy of the libpng notices is provided for your convenience
+unlicense | free and unencumbered software released into the public domain
+unlicense | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+public-domain | (?:placed|released|dedicated) (?:in|into|to) the public domain
+public-domain | (?:is|are) in the public domain
+public-domain | no copyright is claimed
+public-domain | the author disclaims copyright to this source code
+apache | licensed to the apache software foundation \(asf\) under one or more contributor
+apache | you may not use this file except in compliance with the license
+apache | unless required by applicable law or agreed to in writing, software distributed under the license
+apache | terms and conditions for use, reproduction, and distribution
+apache | grants to you a perpetual, worldwide, non exclusive, no charge, royalty free, irrevocable copyright license
+apache-1.1 | this product includes software developed by the apache
+gpl | under the terms of the gnu general public license as published by the free software foundation
+gpl | it under the terms of the gnu general public license
+gpl | either version \d of the license, or \(at your option\) any later version
+gpl | you should have received a copy of the gnu general public license
+gpl | the licenses for most software are designed to take away your freedom
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document
+gpl | this general public license does not permit incorporating your program into proprietary programs
+gpl-3.0 | the gnu general public license is a free, copyleft license for software
+gpl-2.0 | activities other than copying, distribution and modification are not covered by this license
+gpl-classpath | as a special exception, the copyright holders of this library give you permission to link
+gpl-autoconf | as a special exception to the gnu general public license, if you distribute this file as part of a program
+lgpl | under the terms of the gnu (?:lesser|library) general public license as published
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license
+lgpl | this library is free software; you can redistribute it
+lgpl | a program that contains no derivative of any portion of the library
+agpl | under the terms of the gnu affero general public license
+agpl | you should have received a copy of the gnu affero general public license
+agpl | users interacting with it remotely through a computer network
+gfdl | permission is granted to copy, distribute and(?:/or)? modify this document under the terms of the gnu free documentation
+gfdl | with no invariant sections, no front cover texts,? and no back cover texts
+mpl | this source code form is subject to the terms of the mozilla public license
+mpl | if a copy of the mpl was not distributed with this file
+mpl | the contents of this file are subject to the mozilla public license
+mpl-1.1 | alternatively, the contents of this file may be used under the terms of either the gnu general public license
+epl | this program and the accompanying materials are made available under the terms of the eclipse public license
+epl | any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement
+edl | made available under the terms of the eclipse distribution license
+cddl | the contents of this file are subject to the terms of the common development and distribution license
+cddl | you can obtain a copy of the license at usr/src/opensolaris\.license
+cpl | made available under the terms of the common public license
+cc0 | the person who associated a work with this deed has dedicated the work to the public domain
+cc0 | to the extent possible under law,? .{1,80}has waived all copyright
+cc-by | this work is licensed under a creative commons attribution \d
+cc-by | you must give appropriate credit, provide a link to the license,? and indicate if changes were made
+cc-by-sa | you must distribute your contributions under the same license as the original
+cc-by-nc | you may not use the material for commercial purposes
+cc-by-nd | if you remix, transform, or build upon the material, you may not distribute the modified material
+bsl | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+bsl | distributed under the boost software license
+artistic | the intent of this document is to state the conditions under which a package may be copied
+artistic | everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed
+artistic | this is free software; you can redistribute it and(?:/or)? modify it under the same terms as perl
+perl | under the same terms as (?:the )?perl (?:5 )?(?:programming language )?(?:system )?itself
+python | psf is making python available to licensee on an .as is. basis
+python | this license agreement is between the python software foundation
+python | permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted
+ruby | you may redistribute it and(?:/or)? modify it under either the terms of the 2 clause bsdl
+php | this product includes php software, freely available from
+openssl | this product includes software developed by the openssl project
+ssleay | this product includes cryptographic software written by eric young
+postgresql | without a written agreement is hereby granted, provided that the above copyright notice and this paragraph
+postgresql | in no event shall the university of california be liable to any party
+eupl | licensed under the eupl
+eupl | the work is provided under the terms of this licence
+cecill | this software is governed by the cecill
+cecill | ce logiciel est r.gi par la licence cecill
+ms-pl | this license governs use of the accompanying software\. if you use the software, you accept this license
+ms-rl | for any file you distribute that contains code from the software \(in source code or binary format\)
+ofl | this font software is licensed under the sil open font license
+ofl | neither the font software nor any of its individual components
+osl | licensed under the open software license
+afl | licensed under the academic free license
+upl | the universal permissive license \(upl\)
+upl | subject to the condition set forth below, permission is hereby granted to any person obtaining a copy of this software
+ncsa | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the .software.\), to deal with the software
+x11 | except as contained in this notice, the name of [\s\S]{1,80}? shall not be used in advertising
+curl | the name of a copyright holder shall not be used in advertising or otherwise to promote the sale
+json | the software shall be used for good, not evil
+odbl | this database is made available under the open database license
+odc-by | made available under the open data commons attribution license
+pddl | made available under the public domain dedication and license
+rpl | unless explicitly acquired and licensed from licensor under another license
+sspl | if you make the functionality of the program or a modified version available to third parties as a service
+busl | the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non production use
+elastic | you may not provide the software to third parties as a hosted or managed service
+apsl | this file contains original code and(?:/or)? modifications of original code as defined in and that are subject to the apple public source license
+ipl | the accompanying program is provided under the terms of this ibm public license
+lppl | this work may be distributed and(?:/or)? modified under the conditions of the latex project public license
+qpl | this file may be distributed under the terms of the q public license
+sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code
+vim | there are no restrictions on distributing unmodified copies of vim
+w3c | by obtaining(?: and/or copying|, using and/or copying) this work, you \(the licensee\) agree
+zpl | this software is subject to the provisions of the zope public license
+mulanpsl | you can use this software according to the terms and conditions of the mulan psl
+blueoak | this license gives everyone as much permission to work with this software as possible
+hippocratic | the software may not be used by individuals, corporations, governments, or other groups for systems or activities that actively and knowingly endanger
+llama | llama materials means, collectively
+llama | built with (?:meta )?llama
+openrail | use based restrictions as referenced in paragraph
+openrail | open rail(?:-?m)? license
+wtfpl | everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed
+wtfpl | you just do what the f\w+ you want to
+beerware | you can do whatever you want with this stuff\. if we meet some day
+beerware | buy me a beer in return
+isc | the software is provided .as is. and the author disclaims all warranties
+hpnd | without fee, provided that the above copyright notice appears? in all copies and that both that copyright notice
+ntp | provided that the above copyright notice appears in all copies and that both the copyright notice and this permission notice appear
+unicode | unicode, inc\. license agreement
+unicode | permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files
+icu | icu license
+ijg | this software is based in part on the work of the independent jpeg group
+freetype | portions of this software are copyright .{1,60}the freetype project
+fsfap | copying and distribution of this file, with or without modification, are permitted in any medium without royalty
+fsful | this file is free software; the free software foundation gives unlimited permission to copy
+fair | usage of the works is permitted provided that this instrument is retained with the works
+naist | nara institute of science and technology
+oldap | the openldap public license
+spl | sun public notice
+sissl | sun industry standards source license
+watcom | sybase open watcom public license
+xnet | this agreement shall be governed in all respects by the laws of the state of california and by the laws of the united states of america
+zend | this product includes the zend engine
+ogl | contains public sector information licensed under the open government licen[cs]e
+etalab | licence ouverte / open licence
+dl-de | datenlizenz deutschland
+cc-public-domain | public domain mark
+gutenberg | this ebook is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost
+gutenberg | project gutenberg(?:-?tm)? license
+wikipedia | text is available under the creative commons attribution share ?alike license
+stackexchange | user contributions licensed under cc by sa
+arxiv | arxiv\.org perpetual, non exclusive license
+creative-commons | some rights reserved
+copyleft | copyleft license
+proprietary | all rights reserved
+proprietary | proprietary and confidential
+proprietary | unauthorized copying of this (?:file|document)
+proprietary | no part of this (?:publication|book|work|document) may be reproduced
+proprietary | may not be reproduced, distributed, or transmitted in any form
+proprietary | for internal use only
+proprietary | trade secrets? of
+proprietary | without the (?:prior|express) written (?:permission|consent) of
+proprietary | end user license agreement
+proprietary | this software is licensed, not sold
+proprietary | you may not reverse engineer, decompile, or disassemble
+proprietary | use, duplication,? or disclosure by the (?:u\.s\. )?government is subject to restrictions
+non-commercial | for non ?commercial use only
+non-commercial | not for commercial use
+non-commercial | for academic (?:and|or) research use only
+evaluation | for evaluation purposes only
+""".strip().split("\n"))
 #: Identifiers that are common words: with a number they name a license only as written there.
 WORDS = {"apache", "artistic", "elastic", "hippocratic", "php"}
+#: Labels of notices that forbid or reserve without naming a license.
+VAGUE = {"proprietary", "non-commercial", "evaluation", "creative-commons", "copyleft"}
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _IN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -88,6 +250,12 @@ class Rule:
     confidence: float
 
 
+def keyword(pattern: str) -> str:
+    """The longest text that every match of a pattern without nested groups holds, with runs of blanks as one hyphen."""
+    parts = re.split(r"\(\?:[^)]*\)\??|\[[^\]]*\](?:[*+?]|\{[^}]*\}\??)?|\\w[+*]?|\\d|\\s|\\|\.\{[^}]*\}|.\?|[.()'-]", pattern)
+    return max(parts, key=len).strip().replace(" ", "-")
+
+
 def _loose(pattern: str) -> str:
     """pattern, where each blank takes any run of white space or hyphens."""
     return re.sub(r"(?:\[- \]| )(\?)?", lambda m: r"[\s-]*" if m[1] else r"[\s-]+", pattern)
@@ -98,8 +266,8 @@ def rules() -> tuple[Rule, ...]:
     """Some six hundred ordered signatures: tags and addresses, then grants with and without a version, then mentions."""
     out = []
     add = lambda label, keys, pattern, priority, sure: out.append(Rule(label, tuple(keys.split()), re.compile(_loose(pattern)), priority, sure))
-    for label, keys, pattern in GRANTS:
-        add(label, keys, pattern, 2, 0.9)
+    for label, pattern in GRANTS:
+        add(label, keyword(pattern), pattern, 3 if label in VAGUE else 2, 0.5 if label in VAGUE else 0.9)
     for label, spdx, name, keys, versions in FAMILIES:
         # An identifier that goes on to be another one's (cc-by, cc-by-nc) is not this one.
         more = "|".join(f[1][len(spdx) + 1 :].replace("-", " ") for f in FAMILIES if f[1].startswith(f"{spdx}-"))
