@@ -29,13 +29,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None, payload_digest: str, number: int) -> str:
+    """The same each time for a page, its payload and its turn in a bundle."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{payload_digest}/{number}')}>"
+
+
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, number: int) -> bytes:
     """One WARC/1.1 record; a revisit has headers only, its digest is that of the full payload."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{payload_digest}/{number}')}>",
+        f"WARC-Record-ID: {record_id(page_id, payload_digest, number)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {quote(url or 'urn:none', safe=':/?#[]@!$&()*+,;=%~-._')}",
         "Content-Type: application/http;msgtype=response",
@@ -84,13 +89,13 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _frame_writer(root: str, name: str) -> Iterator[pa.RecordBatch]:
-    """Receives (id, record) pairs, yields index batches; the file takes its name only when whole."""
+    """Receives (record id, page id, record), yields index batches; the file takes its name only when whole."""
     fs, path = pafs.FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     pack = zstandard.ZstdCompressor(level=3)
     frames: list[tuple[int, int]] = []
-    index: list[tuple[int | None, int, int, int]] = []
+    index: list[tuple[str, int | None, int, int, int]] = []
     held, size = [], 0
     with fs.open_output_stream(part) as out:
 
@@ -105,33 +110,35 @@ def _frame_writer(root: str, name: str) -> Iterator[pa.RecordBatch]:
 
         got = yield None
         while got is not None:
-            page_id, data = got
+            name_, page_id, data = got
             if size and size + len(data) > FRAME_BYTES:
                 flush()
-            index.append((page_id, len(frames), size, len(data)))
+            index.append((name_, page_id, len(frames), size, len(data)))
             held.append(data)
             size += len(data)
             got = yield None
         flush()
         out.write(seek_table(frames))
     fs.move(part, f"{path}/{name}")
-    columns = list(zip(*index, strict=True)) if index else [(), (), (), ()]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    columns = list(zip(*index, strict=True)) if index else [()] * 5
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     arrays = [pa.array([name] * len(index), pa.string())] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    yield pa.RecordBatch.from_arrays(arrays, ["bundle", "page_id", "frame", "offset", "length"])
+    yield pa.RecordBatch.from_arrays(arrays, ["bundle", "record_id", "page_id", "frame", "offset", "length"])
 
 
-INDEX = "bundle string, page_id long, frame int, offset long, length long"
+INDEX = "bundle string, record_id string, page_id long, frame int, offset long, length long"
 
 
 def write_bundles(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url", html: str = "html", bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Writes a record for each row into bundles below root and gives their index: bundle, page_id, frame, offset, length.
+    """Writes a record for each row into bundles below root and gives their index: bundle, record_id, page_id, frame,
+    offset within the frame, length.
 
     Of rows with equal payloads, those with the largest page_id are responses (repeated rows of that id all are; null
     ids come last), the others revisits of it. Rows go to bundles by a hash of page and payload, so that neither a host
     nor a group of copies makes a bundle large, and a task that is run again writes the same bundle; a bundle gets its
     name when it is whole. root must be a folder that all executors reach (a local path on all of them, or a store that
-    pyarrow opens). An empty table writes nothing. Null payloads are empty; null urls are urn:none.
+    pyarrow opens). An empty table writes nothing. Null payloads are empty; null urls are urn:none; a very long payload
+    is a frame of its own. Only the three columns are read, so the names of others do not matter.
     """
     spark = pages.sparkSession
     slim = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
@@ -165,7 +172,7 @@ def write_bundles(pages: DataFrame, root: str, page_id: str = "page_id", url: st
                 kind = "response" if refers_to is None else "revisit"
                 code = base64.b32encode(bytes.fromhex(sha)).decode()
                 data = record(kind, pid, link, payload if kind == "response" else bytes(size), code, refers_to, number)
-                writer.send((pid, data))
+                writer.send((record_id(pid, code, number), pid, data))
         if writer is not None:
             yield closed()
 
@@ -173,7 +180,7 @@ def write_bundles(pages: DataFrame, root: str, page_id: str = "page_id", url: st
     return written(dealt.mapInArrow(kernel, INDEX), "index")
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long"
+RECORD = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long"
 
 
 def read_bundles(index: DataFrame, root: str) -> DataFrame:
@@ -181,7 +188,7 @@ def read_bundles(index: DataFrame, root: str) -> DataFrame:
 
     A record whose place, page or payload does not agree with the index or its digest raises ValueError.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "page_id"))).alias("records"))
+    frames = index.groupBy("bundle", "frame").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "page_id", "record_id"))).alias("records"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
@@ -202,15 +209,22 @@ def read_bundles(index: DataFrame, root: str) -> DataFrame:
                     payload = body.split(b"\r\n\r\n", 1)[1]
                     kind, code = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     pid = int(head["X-Page-ID"]) if "X-Page-ID" in head else None
-                    if end - r["offset"] != r["length"] or pid != r["page_id"] or kind == "response" and digest(payload) != code:
+                    if end - r["offset"] != r["length"] or pid != r["page_id"] or head["WARC-Record-ID"] != r["record_id"] or kind == "response" and digest(payload) != code:
                         raise ValueError(f"{bundle}, frame {frame}, offset {r['offset']}: the record differs from its index or digest")
                     refers = head.get("X-Refers-To-Page")
-                    out.append((pid, int(head["X-Payload-Length"]), code, kind, int(refers) if refers else None, bundle, frame, r["offset"]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+                    out.append((r["record_id"], pid, int(head["X-Payload-Length"]), code, kind, int(refers) if refers else None, bundle, frame, r["offset"]))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
             columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in RECORD.split(", ")])
 
-    return frames.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(kernel, RECORD)
+    bundles = max(1, index.select("bundle").distinct().count())
+    return frames.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame").mapInArrow(kernel, RECORD)
+
+
+def lookup(index: DataFrame, root: str, record_ids: DataFrame) -> DataFrame:
+    """The records whose ids record_ids (record_id) names, as read_bundles gives them; unknown ids give none."""
+    wanted = record_ids.select(F.col("record_id").alias("wanted")).distinct()
+    return read_bundles(index.join(wanted, F.col("record_id") == F.col("wanted"), "left_semi"), root)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
