@@ -68,10 +68,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """(host, trust, distrust) of personalised PageRank from seeds (host, trusted, blocked: weights).
 
     Trust starts at trusted hosts and follows links; distrust starts at blocked hosts and runs against them, to those who
-    link there. Each is a distribution: a share 1 - damping returns to the seeds in each round, and what reaches a host
-    without further edges is lost. Both run in the same joins, keyed by (kind, host). Each round is one join of the
-    distinct host edges with the ranks, partial sums per target, and a written table, so lineage does not grow and no
-    host's links meet in one task before they are summed.
+    link there. Each is a distribution: a share 1 - damping returns to the seeds in each round, and so does all that
+    reaches a host without further edges. The ranks with that return are those without it, brought to a sum of one, so
+    rounds run without it and the sums are taken at the end. Both kinds run in the same joins, keyed by (kind, host).
+    Each round is one join of the distinct host edges with the ranks, partial sums per target, and a written table, so
+    lineage does not grow and no host's links meet in one task before they are summed. Without edges, hosts keep their
+    shares as seeds; without seeds there are no ranks.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     back = edges.groupBy("dst").agg(F.sum("links").alias("all"))
@@ -92,6 +94,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             rank = after
             if moved.isEmpty():
                 break
+    totals = rank.groupBy("kind").agg(F.sum("r").alias("total"))
+    rank = rank.join(F.broadcast(totals), "kind").withColumn("r", F.col("r") / F.col("total"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -102,18 +106,18 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[R
     The longest rule that fits a url decides. Seeds are the hosts of pages that rules allow or block, weighed by their
     pages; a page without a rule is blocked where its host's distrust is at least `share` of trust and distrust together
     (and not 0), else allowed. Null urls, or without ://, have an empty host and path and are allowed; null html has no
-    links. Repeated rows count as often as they are there. Extra columns stay; clashing names get leading underscores. An
-    empty table gives no rows.
+    links. Repeated rows count as often as they are there. Very long html is one pass of a regular expression. Extra
+    columns stay; clashing names get leading underscores. An empty table gives no rows.
     """
-    n_host, n_path, n_rule, n_verdict, n_trust, n_distrust, n_fit = fresh(pages, "host", "path", "rule", "verdict", "trust", "distrust", "_fit")
+    n_host, n_path, n_rule, n_verdict, n_trust, n_distrust, n_fit, n_key = fresh(pages, "host", "path", "rule", "verdict", "trust", "distrust", "_fit", "_h")
     named = pages.withColumn(n_host, host(F.col(url))).withColumn(n_path, path(F.col(url)))
     named = named.withColumn(n_fit, matched(F.col(n_host), F.col(n_path), rules))
     decided = named.where(F.col(n_fit).isNotNull()).groupBy(F.col(n_host).alias("host"))
     of = lambda v: F.count_if(F.col(f"{n_fit}.verdict") == v)
     seeds = decided.agg(of("allow").alias("trusted"), of("block").alias("blocked"))
     ranks = written(propagate(written(host_edges(named, html, n_host), "edges"), written(seeds, "decided")), "hosts")
-    ranks = small(ranks, 320).select(F.col("host").alias("_h"), F.col("trust").alias(n_trust), F.col("distrust").alias(n_distrust))
-    joined = named.join(ranks, F.col(n_host) == F.col("_h"), "left")
+    ranks = small(ranks, 320).select(F.col("host").alias(n_key), F.col("trust").alias(n_trust), F.col("distrust").alias(n_distrust))
+    joined = named.join(ranks, F.col(n_host) == F.col(n_key), "left")
     distrust, trust = F.coalesce(F.col(n_distrust), F.lit(0.0)), F.coalesce(F.col(n_trust), F.lit(0.0))
     bad = (distrust > 0) & (distrust >= share * (trust + distrust))
     verdict = F.coalesce(F.col(f"{n_fit}.verdict"), F.when(bad, "block").otherwise("allow"))
