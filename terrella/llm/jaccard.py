@@ -370,7 +370,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (null last) and digest; all columns stay.
 
-    Rows without words are components of their own and stay. Repeated rows leave one.
+    Rows without words are components of their own and stay. Rows that share id and text leave one. Null ids and texts,
+    empty tables and long texts are as in classes(); extra columns pass through, whatever their names.
     """
     n_id, n_digest = fresh(docs, "_id", "_digest")
     found = written(classes(docs, doc_id, text, **options).withColumn("group", F.when(F.col("n") > 0, F.coalesce(F.col("component_id"), F.col("c")))).where("group is not null"), "components")
@@ -383,8 +384,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     if twice.isEmpty():
         return left
     again = lambda how: left.join(small(twice, 64), left[doc_id].eqNullSafe(twice[n_id]) & (F.xxhash64(left[text]) == twice[n_digest]), how)
-    (turn,) = fresh(docs, "_turn")
-    one = again("left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(doc_id, text).orderBy(F.lit(1)))).where(F.col(turn) == 1).drop(turn)
+    (n_text,) = fresh(docs, "_text")
+    one = again("left_semi").withColumn(n_text, F.xxhash64(text)).dropDuplicates([doc_id, n_text]).drop(n_text)
     return again("left_anti").unionByName(one)
 
 
