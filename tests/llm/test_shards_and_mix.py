@@ -31,7 +31,7 @@ def test_curve_is_a_walk_through_all_cells():
 
 def shards(df, parts=None):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    return sharding.hilbert_shards(df, sharding.metadata_cells(size, F.col("source"), F.col("lang")), [F.col("doc_id"), F.xxhash64("text")])
+    return sharding.hilbert_shards(df, sharding.metadata_cells(df, size, F.col("source"), F.col("lang")), [F.col("doc_id"), F.xxhash64("text")])
 
 
 def test_shards_are_even_runs_of_the_curve(docs, monkeypatch):
@@ -49,6 +49,37 @@ def test_shards_are_even_runs_of_the_curve(docs, monkeypatch):
     assert sorted(map(repr, again[key].values.tolist())) == sorted(map(repr, once[key].values.tolist()))
 
 
+HELPERS = ["_hash", "_part", "_c", "_p", "_start", "_rank", "_s", "_before", "_target", "_total", "_key", "_tie", "copies", "turn", "slot", "c", "name", "rows", "step", "part", "target"]
+
+
+def test_names_of_extra_columns_do_not_matter(docs):
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(HELPERS)])
+    out = shards(more)
+    assert out.columns == [*more.columns, "_curve", "shard", "_slot"] and out.where("c = 15 and _c = 2 and slot = 14").count() == docs.count()
+    mixed = mixing.mix(more)
+    assert mixed.columns[: len(more.columns)] == more.columns and mixed.where("_s = 6 and copies = 12").count() == docs.count()
+    plain = mixing.mix(docs)
+    assert mixed.agg(F.sum(mixed.columns[-1])).first() == plain.agg(F.sum("copies")).first()
+
+
+def test_a_shard_spans_few_cells_of_a_dimension(spark):
+    rows = [(i, "w" * (1 << (i * 7919 % 13)), f"l{i % 3}", f"s{i * 31 % 7}", 0, "") for i in range(4_000)]
+    out = shards(documents(spark, rows)).select("shard", "source", F.octet_length("text").alias("bytes")).toPandas()
+    of = [(len(set(own["source"])), len(set(own["bytes"]))) for _, own in out.groupby("shard")]
+    assert sum(a * b for a, b in of) / len(of) <= 0.5 * 7 * 13
+
+
+def test_cells_follow_counts(spark):
+    rows = [(i, "x" * (1 + i), "a", f"s{i % 40}" if i % 2 else "hot", 0, "") for i in range(800)] + [(900, None, None, None, 0, "")]
+    df = documents(spark, rows)
+    size = F.octet_length("text")
+    got = df.select("source", "text", sharding.magnitude(df, size).alias("m"), sharding.categorical(df, F.col("source")).alias("c")).toPandas()
+    assert set(got["m"]) <= set(range(16)) and got["m"].nunique() >= 14 and got["m"].value_counts().max() < 130
+    assert set(got["c"]) <= set(range(16)) and list(got[got["source"].isna()]["c"]) == [0]
+    hot = set(got[got["source"] == "hot"]["c"])
+    assert len(hot) == 1 and hot.isdisjoint(got[got["source"] != "hot"]["c"])
+
+
 def test_shards_of_nothing(docs):
     assert shards(docs.where("doc_id = -5")).collect() == []
 
@@ -91,6 +122,13 @@ def test_mix_follows_the_rounds(docs):
     assert Counter(map(repr, again.drop(columns="text").values.tolist())) == Counter(map(repr, got.drop(columns="text").values.tolist()))
 
 
+def test_rows_of_one_id_are_taken_alike_each_time(spark):
+    rows = [(None if i % 2 else 7, f"{i} b", "en", f"s{i % 2}", 0, "") for i in range(60)]
+    df = documents(spark, rows)
+    picks = [sorted((r.text, r.copies) for r in mixing.mix(df.repartition(n), size=F.lit(2).cast("long"), weights=(1, 3)).collect()) for n in (1, 3, 7)]
+    assert picks[0] == picks[1] == picks[2] and len({c for _, c in picks[0]}) > 1
+
+
 def test_mix_repeats_rows(docs):
     mixed = mixing.mix(docs)
     out = mixing.repeated(mixed, docs.columns)
