@@ -30,9 +30,12 @@ def with_flow_direction(tiles: DataFrame, params: dict, seed: int) -> DataFrame:
 
 
 def downstream(column: str) -> Column:
-    """struct(x, y) of where fd leads, null for 255."""
-    step = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in DIR8]), F.col(column) + 1)
-    return F.when(F.col(column) != NO_DIR, F.struct((F.col("x") + step(0)).alias("x"), (F.col("y") + step(1)).alias("y")))
+    """struct(x, y) of where fd leads, null for 255; any other code than the eight directions raises."""
+    code = F.col(column)
+    step = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in DIR8]), F.least(F.greatest(code, F.lit(0)), F.lit(7)) + 1)
+    known = F.when(code.between(0, 7), F.struct((F.col("x") + step(0)).alias("x"), (F.col("y") + step(1)).alias("y")))
+    unknown = F.raise_error(F.concat(F.lit("flow direction: unknown code "), code.cast("string"))).cast("struct<x:int,y:int>")
+    return known.when(code.isNotNull() & (code != NO_DIR), unknown)
 
 
 def in_degree(tiles: DataFrame) -> DataFrame:

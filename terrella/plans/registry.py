@@ -116,6 +116,18 @@ def shore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.with_followable(hydro(spark, sf_dir).withColumn("trail", F.lit(False))).select("x", "y", "follow")
 
 
+def broken(tiles: DataFrame) -> DataFrame:
+    """Navigation maps with values that break each rule, at places that the oracle counts."""
+    x, y = F.col("x"), F.col("y")
+    cost = F.when((x + y) % 11 == 0, F.lit(0.0)).when((x + y) % 13 == 0, F.lit(float("nan"))).when((x + y) % 17 == 0, F.lit(float("inf"))).when((x + y) % 19 == 0, F.lit(None).cast("double"))
+    return tiles.select(
+        F.when((x + y) % 11 * ((x + y) % 13) * ((x + y) % 17) * ((x + y) % 19) == 0, cost).otherwise(F.col("move_cost")).alias("move_cost"),
+        F.when(x % 7 == 3, F.lit(0xC000)).when(x % 7 == 5, F.lit(3)).otherwise(F.col("pass_packed")).alias("pass_packed"),
+        F.when(y % 5 == 2, F.col("follow").bitwiseOR(F.lit(16))).otherwise(F.col("follow")).alias("follow"),
+        F.when((x * y) % 9 == 4, F.lit(-2)).otherwise(F.col("trail_id")).alias("trail_id"),
+    )
+
+
 def lake_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = normed(spark, sf_dir).withColumn("lake", hydrology.lake_mask(GROWN))
     return hydrology.grown_lakes(tiles, GROWN).select("x", "y", "lake")
@@ -209,7 +221,8 @@ QUERIES: dict[str, Query] = {
     "passability_long": passability_long,
     "passability_packed": passability_packed,
     "followable": shore,
-    "invariant_violations": lambda s, d: navigation.invariant_violations(nav(s, d)),
+    "move_cost_untrodden": lambda s, d: eco(s, d).withColumn("trail", F.lit(False)).select("x", "y", navigation.move_cost(PARAMS).alias("move_cost")),
+    "invariant_violations": lambda s, d: navigation.invariant_violations(broken(nav(s, d))),
     "optional_columns": lambda s, d: eco(s, d).select("x", "y", F.round(navigation.visibility_metres(PARAMS), 6).alias("metres"), F.round(navigation.orientation(PARAMS), 6).alias("orientation")),
     "regions": lambda s, d: region_tiles(s, d).select("x", "y", "region"),
     "region_summary": lambda s, d: regions.region_summary(region_tiles(s, d)).drop("grid_id", "parent"),
@@ -260,7 +273,11 @@ ORACLES: dict[str, str] = {
     "passability_long": _sql("SELECT x, y, dir, (['passable', 'difficult', 'blocked'])[code + 1] AS passability FROM passable"),
     "passability_packed": _sql("SELECT x, y, pass_packed, cliff_packed FROM packed"),
     "followable": _sql("SELECT h.x, h.y, ((CASE WHEN water = 2 THEN 1 ELSE 0 END) + (CASE WHEN landform = 2 THEN 2 ELSE 0 END) + (CASE WHEN s.x IS NOT NULL THEN 8 ELSE 0 END))::INTEGER AS follow FROM hydro h LEFT JOIN shores s ON s.x = h.x AND s.y = h.y"),
-    "invariant_violations": "SELECT 0::BIGINT AS bad_move_cost, 0::BIGINT AS bad_passability, 0::BIGINT AS bad_followable, 0::BIGINT AS bad_trail_id",
+    "move_cost_untrodden": _sql(
+        f"SELECT x, y, {oracle.f32(f'(1e0 + {oracle.num(PARAMS["movement"]["moveCostObstructionMax"] - 1)} * {oracle.clamp("obstruction")}) * (1e0 + {oracle.num(PARAMS["movement"]["moveCostMoistureMax"] - 1)} * {oracle.clamp("moisture")})'
+        f' * CASE WHEN water = 3 THEN {oracle.num(PARAMS["movement"]["marshMoveCostMultiplier"])} ELSE 1e0 END * CASE WHEN biome = 0 THEN {oracle.num(PARAMS["movement"]["openBogMoveCostMultiplier"])} ELSE 1e0 END')} AS move_cost FROM eco"
+    ),
+    "invariant_violations": _sql("SELECT count(*) FILTER ((x + y) % 11 = 0 OR (x + y) % 13 = 0 OR (x + y) % 17 = 0 OR (x + y) % 19 = 0) AS bad_move_cost, count(*) FILTER (x % 7 IN (3, 5)) AS bad_passability, count(*) FILTER (y % 5 = 2) AS bad_followable, count(*) FILTER ((x * y) % 9 = 4) AS bad_trail_id FROM base"),
     "optional_columns": _sql(f"SELECT x, y, round(greatest({_VIS['minMeters']}e0, least({_VIS['maxMeters']}e0, {_VIS['base']}e0 - density * {_VIS['densityPenalty']} - obstruction * {_VIS['obstructionPenalty']} + h * {_VIS['elevationBonus']})), 6) AS metres, round(greatest({_ORI['min']}e0, least({_ORI['max']}e0, 1e0 - density * {_ORI['densityWeight']}e0 - obstruction * {_ORI['obstructionWeight']}e0 - {oracle.clamp('(moisture - 0.6e0) / 0.4e0')} * {_ORI['wetnessWeight']}e0 + CASE WHEN landform = 2 THEN {_ORI['ridgeBonus']}e0 ELSE 0e0 END)), 6) AS orientation FROM eco"),
     "regions": _sql("SELECT x, y, region FROM regions"),
     "region_summary": _sql("SELECT region, biome, tile_count, min_x, min_y, max_x, max_y FROM summary"),

@@ -56,6 +56,13 @@ def test_flow(spark):
     close(column(hydrology.with_flow_norm(grid(spark, 3, 1, fa=[1, 2, 4])), "fa_norm"), [0, 0.5, 1])
 
 
+def test_unknown_flow_codes_raise(spark):
+    for code in (8, -1, 254):
+        with pytest.raises(Exception, match="unknown code"):
+            hydrology.in_degree(grid(spark, 2, 1, fd=[0, code])).collect()
+    assert [r.in_deg for r in hydrology.in_degree(grid(spark, 2, 1, fd=[0, 255])).orderBy("x").collect()] == [0, 1]
+
+
 def test_cycles_are_found(spark):
     with pytest.raises(InternalError):
         hydrology.with_flow_accumulation(grid(spark, 2, 1, fd=[0, 4]), 2).collect()
