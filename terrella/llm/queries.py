@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_prefix_decontamination": decontamination.ORACLE,
     "op4_water_filling": mixing.ORACLE,
+    "op7_seekable_warc": warc.ORACLE,
     "op10_grouped_prefix_join": jaccard.ORACLE,
 }

@@ -230,4 +230,20 @@ def lookup(index: DataFrame, root: str, record_ids: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "warc")
     index = write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
-    return read_bundles(index, root)
+    return read_bundles(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH page AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+five AS (
+  SELECT *, list_transform(range(8), lambda g: list_sum(list_transform(range(5), lambda k:
+    (instr('0123456789abcdef', substr(x, (5 * g + k + 1)::BIGINT, 1)) - 1) * (16 ** (4 - k))::BIGINT))::BIGINT) AS v,
+         max(page_id) OVER (PARTITION BY x) AS last
+  FROM page)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[(i // 4)::INTEGER + 1] // (32 ** (3 - i % 4))::BIGINT) % 32 + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM five
+"""
