@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import known_maps
 from terrella.errors import FileError, InputError, InternalError, ShapeError
 from terrella.functions.columns import hash32, tie_hash, unsigned_mod
 from terrella.functions import rng
 from terrella.operators import describe, ecology, graph, hydrology, navigation, regions, topography, trails
+from terrella.operators.noise import with_base_maps
 from terrella.operators.grid import box_distance, dense_grid, grid_dimensions
 from terrella.plans.generate import SPEC, generate, nested
 from terrella.sinks import outputs
@@ -211,6 +213,27 @@ def test_known_maps(generated):
         assert hashlib.sha256(d[name].to_numpy().astype(kind).tobytes()).hexdigest() == want, name
 
 
+KINDS = {"landform": "u1", "trail": "u1", "cliff_packed": "u1", "follow": "u1", "trail_id": "<i4", "pass_packed": "<u2"}
+
+
+def assert_known(d, known):
+    for name, want in known.items():
+        assert hashlib.sha256(d[name].to_numpy().astype(KINDS.get(name, "<f4")).tobytes()).hexdigest() == want, name
+
+
+@pytest.mark.parametrize("place", known_maps.TOPOGRAPHY)
+def test_known_topography(spark, place):
+    seed, side = place
+    maps = with_base_maps(dense_grid(spark, side, side), seed, DEFAULTS)
+    assert_known(topography.with_topography(maps, DEFAULTS).orderBy("y", "x").toPandas(), known_maps.TOPOGRAPHY[place])
+
+
+@pytest.mark.parametrize("place", [k for k in known_maps.NAVIGATION if k[0] != 42])
+def test_known_navigation(spark, place):
+    seed, side = place
+    assert_known(generate(spark, seed, side, side, DEFAULTS).orderBy("y", "x").toPandas(), known_maps.NAVIGATION[place])
+
+
 def test_known_document(generated, tmp_path):
     data = outputs.envelope(nested(generated), SPEC)
     outputs.write_envelope(data, str(tmp_path / "e.json"))
