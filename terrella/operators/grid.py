@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import settled
+
 #: Steps in the order of direction codes 0 to 7 (E, SE, S, SW, W, NW, N, NE); 255 is no direction. Fixed values.
 DIR8 = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 NO_DIR = 255
@@ -74,6 +76,22 @@ def neighbour_pairs(tiles: DataFrame, columns: list[str], steps: dict[str, tuple
     return tiles.select(*KEYS).join(theirs, KEYS)
 
 
+def numbered(rows: DataFrame, coarse: Column, order: list[Column], name: str, most: int | None = None) -> DataFrame:
+    """Adds name: a row's place, from 0, among those of its grid by coarse, then order; of the first `most` places if given.
+
+    Rows are counted by coarse values, whose running sums say where each value's places begin; within a value, rows are
+    sorted. So a grid is as many tasks as it has coarse values, and only their counts meet in one.
+    """
+    rows = settled(rows.withColumn("_coarse", coarse))
+    starts = rows.groupBy("grid_id", "_coarse").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", F.sum("_n").over(Window.partitionBy("grid_id").orderBy("_coarse")) - F.col("_n")).drop("_n")
+    if most is not None:
+        starts = starts.where(F.col("_start") < most)
+    within = Window.partitionBy("grid_id", "_coarse").orderBy(*order)
+    out = rows.join(starts, ["grid_id", "_coarse"]).withColumn(name, (F.col("_start") + F.row_number().over(within) - 1).cast("int")).drop("_coarse", "_start")
+    return out if most is None else out.where(F.col(name) < most)
+
+
 def non_playable(width: int, height: int, inset: int) -> Column:
     if inset <= 0:
         return F.lit(False)

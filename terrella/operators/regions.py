@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InputError
 from .graph import labelled
-from .grid import KEYS, neighbour_pairs
+from .grid import KEYS, neighbour_pairs, numbered
 
 
 def checked(tiles: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def with_regions(tiles: DataFrame) -> DataFrame:
     edges = same.select("grid_id", F.struct("y", "x").alias("a"), F.struct((F.col("y") + s["dy"]).alias("y"), (F.col("x") + s["dx"]).alias("x")).alias("b"))
     labels = labelled(tiles.select("grid_id", F.struct("y", "x").alias("node")), edges)
     firsts = labels.select("grid_id", "label").distinct()
-    ids = firsts.withColumn("region", F.row_number().over(Window.partitionBy("grid_id").orderBy("label")) - 1)
+    ids = numbered(firsts, F.col("label.y"), [F.col("label")], "region")
     found = labels.join(ids, ["grid_id", "label"]).select("grid_id", F.col("node.x").alias("x"), F.col("node.y").alias("y"), "region")
     return tiles.join(found, KEYS)
 

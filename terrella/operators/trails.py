@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import InputError
 from ..functions.columns import clamp01, f32
 from ..functions.storage import settled
-from .grid import DIR8, box_distance, index, non_playable
+from .grid import DIR8, box_distance, index, non_playable, numbered
 
 KINDS = ["seed_to_water", "seed_to_ridge"]
 #: Routes of a grid go to so many tasks, each of which holds the grid's cost field once.
@@ -67,9 +67,8 @@ def scored_seeds(tiles: DataFrame, params: dict, width: int, height: int) -> Dat
 
 def trail_seeds(tiles: DataFrame, params: dict, width: int, height: int) -> DataFrame:
     """(grid_id, x, y, score, seed_rank from 0): the best seeds of each grid, ties by row then column."""
-    best = Window.partitionBy("grid_id").orderBy(F.desc("score"), "y", "x")
-    ranked = scored_seeds(tiles, params, width, height).withColumn("seed_rank", F.row_number().over(best) - 1)
-    return ranked.where(F.col("seed_rank") < seed_count(params, width, height)).select("grid_id", "x", "y", "score", "seed_rank")
+    scored = scored_seeds(tiles, params, width, height).select("grid_id", "x", "y", "score")
+    return numbered(scored, -F.floor(F.col("score") * 4096), [F.desc("score"), F.col("y"), F.col("x")], "seed_rank", seed_count(params, width, height))
 
 
 def nearest(points: DataFrame, candidates: DataFrame, width: int, height: int) -> DataFrame:
