@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InternalError
-from ..functions.storage import settled
+from ..functions.storage import discard, settled
 
 
 def subtree_sizes(edges: DataFrame, limit: int) -> DataFrame:
@@ -15,14 +15,16 @@ def subtree_sizes(edges: DataFrame, limit: int) -> DataFrame:
     Pointer doubling: after k rounds a total counts the nodes above at less than 2^k steps, so the depth's logarithm is
     the number of rounds. limit: nodes of the largest grid; pointers that outlive its logarithm are a cycle.
     """
-    state = settled(edges.select("grid_id", "node", "next", F.lit(1).cast("long").alias("total")))
+    state = table = settled(edges.select("grid_id", "node", "next", F.lit(1).cast("long").alias("total")))
     for _ in range(max(1, limit.bit_length()) + 1):
         if state.where(F.col("next").isNotNull()).isEmpty():
             return state.select("grid_id", "node", "total")
         came = state.where(F.col("next").isNotNull()).groupBy("grid_id", F.col("next").alias("node")).agg(F.sum("total").alias("came"))
         hop = state.select("grid_id", F.col("node").alias("next"), F.col("next").alias("after"))
         state = state.join(came, ["grid_id", "node"], "left").join(hop, ["grid_id", "next"], "left")
-        state = settled(state.select("grid_id", "node", F.col("after").alias("next"), (F.col("total") + F.coalesce("came", F.lit(0))).alias("total")))
+        last, state = table, settled(state.select("grid_id", "node", F.col("after").alias("next"), (F.col("total") + F.coalesce("came", F.lit(0))).alias("total")))
+        discard(last)
+        table = state
     if state.where(F.col("next").isNotNull()).isEmpty():
         return state.select("grid_id", "node", "total")
     raise InternalError("flow accumulation: cycle_detected")
@@ -34,7 +36,7 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours, then that label's own label, so a round at least doubles
     how far labels travel along a path of pointers; labels settle in the shared folder between rounds.
     """
-    state = settled(nodes.select("grid_id", "node", F.col("node").alias("label")))
+    state = table = settled(nodes.select("grid_id", "node", F.col("node").alias("label")))
     edges = settled(edges.select("grid_id", "a", "b"))
     while True:
         seen = edges.join(state.select("grid_id", F.col("node").alias("b"), F.col("label").alias("l")), ["grid_id", "b"]).groupBy("grid_id", F.col("a").alias("node")).agg(F.min("l").alias("seen"))
@@ -44,5 +46,8 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hop = least.select("grid_id", F.col("node").alias("low"), F.col("low").alias("hop"))
         after = settled(least.join(hop, ["grid_id", "low"], "left").select("grid_id", "node", "was", F.least("low", F.coalesce("hop", "low")).alias("label")))
         state = after.select("grid_id", "node", "label")
+        discard(table, least)
+        table = after
         if after.where("label <> was").isEmpty():
+            discard(edges)
             return state

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phrases
-from ..functions.columns import hash32, pick
-from ..operators import describe, ecology
+from ..functions.columns import flag_names, pick
+from ..operators import describe, ecology, navigation
 from ..operators.grid import RING
 from . import oracle
 from .generate import nested
 
 _GRAVE = ["windthrow", "boulder", "fallen_log", "root_tangle"]  # those of the roughness flags, gravest first
+
+
 def _key():
     return F.concat_ws(",", "x", "y")
 
 
-
 def neighbor_signals(tiles: DataFrame) -> DataFrame:
     """Per tile and direction the neighbour's biome and step in height; beyond the edge the tile itself."""
     flat = describe.signals(nested(tiles))
@@ -30,14 +32,13 @@ def neighbor_signals(tiles: DataFrame) -> DataFrame:
 
 
 def obstacle_pick(tiles: DataFrame) -> DataFrame:
-    """The obstacle that a tile's description names: three, two and one lots for the three gravest."""
-    bit = {n: 1 << ecology.ROUGHNESS.index(n) for n in _GRAVE}
-    there = F.filter(F.array(*[F.when(F.col("features").bitwiseAND(F.lit(bit[n])) != 0, F.lit(n)) for n in _GRAVE]), lambda n: n.isNotNull())
-    pool = F.flatten(F.transform(F.slice(there, 1, 3), lambda n, i: F.array_repeat(n, F.lit(3) - i)))
-    key = hash32(F.concat(_key(), F.lit(":obstacle:key")))
-    tiles = tiles.withColumn("_pool", pool)
-    at = F.pmod(key, F.greatest(F.size("_pool"), F.lit(1))).cast("int")
-    return tiles.select("x", "y", F.get("_pool", at).alias("obstacle"))
+    """The obstacle that a tile's description names, as descriptions choose it."""
+
+    @F.pandas_udf("string")
+    def chosen(flags: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([describe.chosen_obstacle(list(f), k) for f, k in zip(flags, keys, strict=True)], dtype=object)
+
+    return tiles.select("x", "y", chosen(flag_names(F.col("features"), ecology.ROUGHNESS), _key()).alias("obstacle"))
 
 
 def phrase_pick(tiles: DataFrame) -> DataFrame:
@@ -48,12 +49,18 @@ def phrase_pick(tiles: DataFrame) -> DataFrame:
 
 
 def movement_runs(tiles: DataFrame) -> DataFrame:
-    """How many arcs of open and of closed directions a tile has around it."""
-    code = lambda i: F.call_function("shiftright", F.col("pass_packed"), F.lit(2 * (i % 8))).bitwiseAND(F.lit(3)) == 0
-    starts = sum((F.when(code(i) & ~code(i + 7), 1).otherwise(0) for i in range(8)), F.lit(0))
-    exits = sum((F.when(code(i), 1).otherwise(0) for i in range(8)), F.lit(0))
-    arcs = lambda full: F.when(exits == full, 1).otherwise(starts)
-    return tiles.select("x", "y", exits.alias("exits"), F.when(exits == 0, 0).otherwise(arcs(8)).alias("passages"), F.when(exits == 8, 0).otherwise(arcs(0)).alias("blockages"))
+    """How many ways lead out of a tile, and how many arcs of open and of closed directions it has, as descriptions see them."""
+
+    @F.pandas_udf("exits int, passages int, blockages int")
+    def counted(ways: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for way in ways.to_dict("records"):
+            runs = describe.movement_runs(way)
+            open_ = [r["directions"] for r in runs if r["type"] == "passage"]
+            rows.append((sum(map(len, open_)), len(open_), len(runs) - len(open_)))
+        return pd.DataFrame(rows, columns=["exits", "passages", "blockages"]).astype("int32")
+
+    return tiles.select("x", "y", counted(navigation.unpacked(F.col("pass_packed"))).alias("c")).select("x", "y", "c.*")
 
 
 def described(tiles: DataFrame) -> DataFrame:
