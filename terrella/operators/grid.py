@@ -1,7 +1,8 @@
 """Dense grids: addressing, stencils by two windows, box distances, and coordinate joins for sparse tiles.
 
 Tiles are rows (grid_id, x, y, map columns); every operator keeps grid_id, so many grids run in one job. A stencil is a
-window over rows and one over columns of a grid: two exchanges, whatever the number of grids, and no self-join.
+window over rows and one over columns of a grid: two exchanges, whatever the number of grids, and no self-join. Long rows
+and columns are cut into blocks that hold copies of their neighbours' ends, so a grid is as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -17,14 +18,32 @@ NO_DIR = 255
 #: Steps around a tile from north, clockwise, by name. Fixed values.
 RING = {"N": (0, -1), "NE": (1, -1), "E": (1, 0), "SE": (1, 1), "S": (0, 1), "SW": (-1, 1), "W": (-1, 0), "NW": (-1, -1)}
 KEYS = ["grid_id", "x", "y"]
+#: Tiles of a row or column that one window holds, besides the copies at its ends.
+BLOCK = 2_048
 
 
 def row_window():
-    return Window.partitionBy("grid_id", "y").orderBy("x")
+    return Window.partitionBy("grid_id", "y", "_block").orderBy("x")
 
 
 def column_window():
-    return Window.partitionBy("grid_id", "x").orderBy("y")
+    return Window.partitionBy("grid_id", "x", "_block").orderBy("y")
+
+
+def blocked(tiles: DataFrame, axis: str, halo: int) -> DataFrame:
+    """tiles with _block along an axis; those within halo of a block's end are there again, with _copy, for the next block."""
+    block, at = F.floor(F.col(axis) / BLOCK), F.pmod(F.col(axis), F.lit(BLOCK))
+    reach = range(1, -(-halo // BLOCK) + 1)
+    there = [F.struct(block.alias("b"), F.lit(False).alias("copy"))]
+    for k in reach:
+        far = halo - (k - 1) * BLOCK
+        there += [F.when(at < far, F.struct((block - k).alias("b"), F.lit(True).alias("copy"))), F.when(at >= BLOCK - far, F.struct((block + k).alias("b"), F.lit(True).alias("copy")))]
+    placed = tiles.withColumn("_in", F.explode(F.filter(F.array(*there), lambda p: p.isNotNull())))
+    return placed.withColumn("_block", F.col("_in.b")).withColumn("_copy", F.col("_in.copy")).drop("_in")
+
+
+def unblocked(tiles: DataFrame) -> DataFrame:
+    return tiles.where(~F.col("_copy")).drop("_block", "_copy")
 
 
 def dense_grid(spark: SparkSession, width: int, height: int, grid_id: int = 0) -> DataFrame:
@@ -40,8 +59,9 @@ def with_neighbours(tiles: DataFrame, columns: list[str], name: str = "near") ->
     """Adds an array of eight structs of the columns, by direction code; null beyond the edge. For dense grids."""
     me = F.struct(*columns)
     three = F.struct(F.lag(me).over(row_window()).alias("w"), me.alias("c"), F.lead(me).over(row_window()).alias("e"))
-    rows = tiles.withColumn("_three", three)
-    rows = rows.withColumn("_up", F.lag("_three").over(column_window())).withColumn("_down", F.lead("_three").over(column_window()))
+    rows = unblocked(blocked(tiles, "x", 1).withColumn("_three", three))
+    rows = blocked(rows, "y", 1).withColumn("_up", F.lag("_three").over(column_window())).withColumn("_down", F.lead("_three").over(column_window()))
+    rows = unblocked(rows)
     column = {-1: "w", 0: "c", 1: "e"}
     line = {-1: "_up", 0: "_three", 1: "_down"}
     return rows.withColumn(name, F.array(*[F.col(f"{line[dy]}.{column[dx]}") for dx, dy in DIR8])).drop("_three", "_up", "_down")
@@ -56,9 +76,9 @@ def box_distance(tiles: DataFrame, source: Column, cap: int, name: str) -> DataF
         raise ValueError(f"the cap must be a whole number of steps, not {cap}")
     tiles = tiles.withColumn("_source", F.coalesce(source, F.lit(False)))
     across = [F.max("_source").over(row_window().rowsBetween(-d, d)).alias(f"_a{d}") for d in range(cap)]
-    tiles = tiles.select("*", *across)
+    tiles = unblocked(blocked(tiles, "x", cap).select("*", *across))
     down = [F.max(f"_a{d}").over(column_window().rowsBetween(-d, d)).alias(f"_b{d}") for d in range(cap)]
-    tiles = tiles.select("*", *down)
+    tiles = unblocked(blocked(tiles, "y", cap).select("*", *down))
     out = F.lit(cap)
     for d in reversed(range(cap)):
         out = F.when(F.col(f"_b{d}"), F.lit(d)).otherwise(out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import f32
-from .grid import column_window, row_window, with_neighbours
+from .grid import blocked, column_window, row_window, unblocked, with_neighbours
 
 #: Landform names by code. Fixed values.
 LANDFORMS = ["flat", "slope", "ridge", "valley", "basin"]
@@ -21,7 +21,8 @@ def with_slope_aspect(tiles: DataFrame) -> DataFrame:
     h = F.col("h")
     hx = F.coalesce(F.lead("h").over(row_window()), h) - F.coalesce(F.lag("h").over(row_window()), h)
     hy = F.coalesce(F.lead("h").over(column_window()), h) - F.coalesce(F.lag("h").over(column_window()), h)
-    tiles = tiles.withColumn("_hx", hx).withColumn("_hy", hy)
+    tiles = unblocked(blocked(tiles, "x", 1).withColumn("_hx", hx))
+    tiles = unblocked(blocked(tiles, "y", 1).withColumn("_hy", hy))
     hx, hy = F.col("_hx"), F.col("_hy")
     aspect = F.when((hx == 0) & (hy == 0), F.lit(0.0)).otherwise(normalize_degrees(F.atan2(-hy, -hx) * F.lit(180.0) / F.lit(3.141592653589793)))
     return tiles.withColumn("slope", f32(F.sqrt(hx * hx + hy * hy) / 2)).withColumn("aspect", f32(aspect)).drop("_hx", "_hy")

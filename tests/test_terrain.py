@@ -407,6 +407,19 @@ def test_thin_and_empty_grids(spark):
     assert tuple(grid_dimensions(none).first()) == (0, 0)
 
 
+def test_blocks_do_not_change_stencils(spark, monkeypatch):
+    from terrella.operators import grid as module
+
+    values = [float(i * 37 % 11) for i in range(9 * 8)]
+    tiles = grid(spark, 9, 8, h=values, wet=[v > 8 for v in values])
+    whole = module.with_neighbours(tiles, ["h"]).orderBy("y", "x").collect()
+    far = [column(box_distance(tiles, F.col("wet"), cap, "d"), "d") for cap in (1, 3, 7)]
+    for block in (1, 2, 5):
+        monkeypatch.setattr(module, "BLOCK", block)
+        assert module.with_neighbours(tiles, ["h"]).orderBy("y", "x").collect() == whole
+        assert [column(box_distance(tiles, F.col("wet"), cap, "d"), "d") for cap in (1, 3, 7)] == far
+
+
 def test_labels_of_a_long_path(spark):
     nodes = spark.range(40).select(F.lit(0).cast("long").alias("grid_id"), F.col("id").alias("node"))
     one = nodes.where("node < 39").select("grid_id", F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
