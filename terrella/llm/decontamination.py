@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from .common import BROADCAST_BYTES, discard, fresh, rows_of, small, words, written
 
 WINDOW = 13
@@ -101,9 +102,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     found = found.groupBy("digest").agg(F.collect_set(F.struct(start.alias("s"), "n", "window")).alias("spans"))
     found = written(found.select(col("digest").alias("own"), "spans"), "candidates")
     texts = slim.join(small(found, 16).select("own"), col("digest") == col("own"), "left_semi").select("digest", "text").dropDuplicates(["digest"])
-    both = found.join(texts, col("own") == col("digest")).withColumn("words", words(col("text")))
-    stands = lambda x: window_key(F.slice("words", x["s"] + 1, x["n"])) == x["window"]
-    held = written(both.select("digest", F.array_sort(F.filter("spans", stands)).alias("spans")).where(F.size("spans") > 0), "held")
+    both = found.join(texts, col("own") == col("digest"))
+    # A text is cut into words once, not for each of its spans.
+    standing = let(words(col("text")), lambda w: F.filter("spans", lambda x: window_key(F.slice(w, x["s"] + 1, x["n"])) == x["window"]))
+    held = written(both.select("digest", F.array_sort(standing).alias("spans")).where(F.size("spans") > 0), "held")
     items = held.select("digest", F.explode(F.array_distinct(F.transform("spans", lambda x: x["window"]))).alias("window")).join(spans.select("window", "item").distinct(), "window")
     items = items.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
