@@ -37,10 +37,24 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors collect their garbage and give back the heap that they need no more, as far as a task reaches each of them.
+
+    A heap that an earlier step filled else stays in memory, beside the Python workers and what the next step takes.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which else stay until the driver happens to collect garbage."""
+    """Lets Spark delete the shuffle files of finished steps, which else stay until the driver happens to collect garbage.
+
+    Executors on their own, if there are any, shrink their heaps too.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        shrink_heaps(spark)
 
 
 @contextmanager

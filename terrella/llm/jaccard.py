@@ -282,6 +282,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """
     col, spark = F.col, docs.sparkSession
     join = prepared(docs, doc_id, text, width, percent)
+    release(spark)
     members, posted = join.members, join.posted
 
     linked = join.verified(written(join.possible(_stars(posted, percent).union(members.where("c <> g").select("c", "g"))), "pairs"))

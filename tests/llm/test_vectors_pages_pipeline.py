@@ -279,3 +279,12 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     pipeline_tables(spark, str(tmp_path), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_heaps_shrink_where_tasks_run(spark):
+    from terrella.llm.common import shrink_heaps
+
+    runs = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = runs()
+    shrink_heaps(spark)
+    assert runs() > before
