@@ -58,17 +58,29 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Within it, jobs hand Python workers so many rows at a time, which bounds their memory where texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Within it, jobs hand Python workers so many rows at a time, which bounds their memory where texts are long."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def small_methods(spark: SparkSession):
+    """Within it, jobs run without whole-stage code: a join's condition is a class of its own, cut into small methods.
+
+    Within a join's loop, a long condition takes the JVM's compiler seconds and hundreds of MB beside the heap, which
+    it gives back late or, where they are fragments, not at all.
+    """
+    return _setting(spark, "spark.sql.codegen.wholeStage", "false")
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows, of row_bytes at most each, prove it small, else as it is."""
     return F.broadcast(df) if rows_of(df) * row_bytes <= BROADCAST_BYTES else df

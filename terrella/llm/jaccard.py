@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, release, small, small_batches, written
+from .common import discard, fresh, release, small, small_batches, small_methods, written
 from .shingles import U64, Late, parities, sets, shingles, slices
 
 WIDTH = 5
@@ -290,7 +290,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     roots = components(linked)
     now = members.join(roots, members["c"] == roots["node"], "left")
     now = written(now.select("c", "n", "g", "odd", F.coalesce("root", "c").alias("comp"), col("root").isNotNull().alias("multi")), "joined")
-    rest = written(join.possible(_across(posted, now, percent)), "rest")
+    rest = _across(posted, now, percent)
+    with small_methods(spark):
+        rest = written(join.possible(rest), "rest")
     release(spark)
     linked = linked.union(join.verified(rest))
     roots = components(linked)
@@ -339,7 +341,8 @@ def _across(posted: DataFrame, now: DataFrame, percent: int) -> DataFrame:
     may = lambda u, v: col(f"first_{u}") * (100 + percent) <= col(f"hi_{u}") * 100 - col(f"lo_{v}") * percent
     singly = _fits(percent, col("lo_a"), col("first_a"), col("lo_b"), col("first_b")) & _near(percent, col("lo_a"), col("odd_a"), col("lo_b"), col("odd_b"))
     across = side("a").join(side("b"), key).where((place("a") < place("b")) & may("a", "b") & may("b", "a") & (~both_single | singly))
-    across = written(across.select(*key, "comp_a", "comp_b", "c_a", "c_b", col("lo_a").alias("n_a"), col("first_a").alias("pos_a"), "odd_a"), "across")
+    with small_methods(posted.sparkSession):
+        across = written(across.select(*key, "comp_a", "comp_b", "c_a", "c_b", col("lo_a").alias("n_a"), col("first_a").alias("pos_a"), "odd_a"), "across")
     end = lambda x: whole.select(*key, *[col(k).alias(f"{k}_{x}") for k in ("comp", "c", "n", "pos", "odd")])
     passed = _fits(percent, col("n_a"), col("pos_a"), col("n_b"), col("pos_b")) & _near(percent, col("n_a"), col("odd_a"), col("n_b"), col("odd_b"))
     ready = ["comp_b", "c_a", "n_a", "pos_a", "odd_a"]
@@ -365,7 +368,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     end = lambda x: every.select("token", "in_group", *[col(k).alias(f"{k}_{x}") for k in ("c", "n", "pos", "odd")])
     passed = _fits(percent, col("n_a"), col("pos_a"), col("n_b"), col("pos_b")) & _near(percent, col("n_a"), col("odd_a"), col("n_b"), col("odd_b"))
     pairs = end("a").join(end("b"), ["token", "in_group"]).where((col("c_a") < col("c_b")) & passed).select(col("c_a").alias("a"), col("c_b").alias("b")).distinct()
-    return join.verified(written(join.possible(pairs), "pairs")), join.sets.select("doc_id", "digest", col("n").cast("long").alias("n"), "c")
+    with small_methods(docs.sparkSession):
+        pairs = written(join.possible(pairs), "pairs")
+    return join.verified(pairs), join.sets.select("doc_id", "digest", col("n").cast("long").alias("n"), "c")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

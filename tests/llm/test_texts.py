@@ -149,6 +149,31 @@ def test_links_of_nothing_and_of_short_texts(spark):
     assert none == [] and sorted(((r.doc_id, r.n, r.component_id) for r in few), key=repr) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (None, 0, None)]
 
 
+def test_parity_filters_stay_out_of_the_loops_of_whole_stage_code(copies, monkeypatch):
+    docs, plans, write = copies[0], {}, jaccard.written
+    conf = docs.sparkSession.conf
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: conf.get(key) for key in plain}
+    for key, value in plain.items():
+        conf.set(key, value)
+
+    def noted(df, name):
+        plans.setdefault(name, []).extend(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    try:
+        jaccard.classes(docs)
+        jaccard.links(docs)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+    joins = [(name, line) for name, lines in plans.items() for line in lines if "Join" in line and "bit_count" in line]
+    assert {"across", "rest", "pairs"} <= {name for name, _ in joins}
+    assert [(name, line) for name, line in joins if "*(" in line] == []
+    assert conf.get("spark.sql.codegen.wholeStage") == "true"
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(15)]
